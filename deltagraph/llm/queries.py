@@ -8,8 +8,8 @@ _MODULES = {
     #"op1_line_dedup": "line_dedup",
     #"op2_quality": "quality",
     #"op3_embedding_dedup": "embedding_dedup",
-    #"op4_warc": "warc",
-    #"op5_mixing": "mixing",
+    "op4_warc": "warc",
+    "op5_mixing": "mixing",
     #"op6_language_id": "language_id",
     #"op7_decontamination": "decontamination",
     #"op8_ngram_join": "ngram_join",
