@@ -5,14 +5,13 @@ floor(r) times, and once more with inclusion probability r - floor(r).  The cube
 the probabilities of three documents at a time move along the null space of the constraints (words and documents of
 the source stay the same) until one of them is 0 or 1, so both totals are kept exactly during the flight.
 
-The flight runs in blocks of about ``BLOCK`` documents of one source; what each block leaves undecided (two documents
+The flight runs in blocks of about ``BLOCK`` documents of one source; what each block leaves undecided (ten documents
 at most) meets in the next round, so a source of any size takes log_BLOCK(n) rounds and no task holds a source.
-Documents are decided from the longest to the shortest, so the landing concerns the shortest ones.
+A few documents of all lengths are set aside for the landing, which swaps them until the words fit.
 """
 
 from __future__ import annotations
 
-import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +26,8 @@ SEED = 20240607
 WORD = r"[^\x20\x09-\x0D]+"
 #: More distinct sources than this are refused: their totals are held on the driver.
 MAX_SOURCES = 100_000
+#: Documents left for the landing of a source, and for the next round by each of several blocks.
+LANDING, ASIDE = 64, 8
 _EPS = 1e-9
 
 
@@ -79,25 +80,41 @@ def flight(size: np.ndarray, p: np.ndarray, draw: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def land(size: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Decide what the flight left: the choice whose words differ least from what was asked."""
+def land(size: np.ndarray, p: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """Decide what the flight left and what was set aside: each by its probability, then single flips and swaps (which keep the
+    number of documents) while they bring the words nearer to what was asked."""
     rest = np.flatnonzero((p > 0) & (p < 1))
-    if len(rest):
-        want, n = float((size[rest] * p[rest]).sum()), float(p[rest].sum())
-        best = min(itertools.product((0.0, 1.0), repeat=len(rest)), key=lambda x: (abs(float((size[rest] * x).sum()) - want), abs(sum(x) - n), x))
-        p = p.copy()
-        p[rest] = best
+    if not len(rest):
+        return p
+    s, x = size[rest], (draw[rest] < p[rest]).astype(float)
+    off = float((s * x).sum() - (s * p[rest]).sum())
+    for _ in range(4 * len(rest)):
+        flip = s * (1 - 2 * x)
+        pair = flip[:, None] + np.where(x[:, None] != x[None, :], flip[None, :], np.inf)
+        one, two = int(np.abs(off + flip).argmin()), int(np.abs(off + pair).argmin())
+        i, j = divmod(two, len(rest))
+        best = [i, j] if abs(off + pair[i, j]) <= abs(off + flip[one]) else [one]
+        new = off + float(flip[best].sum())
+        if abs(new) >= abs(off) - _EPS:
+            break
+        x[best], off = 1 - x[best], new
+    p = p.copy()
+    p[rest] = x
     return p
 
 
 def _decide(t: pa.Table) -> pa.Table:
-    """One block of one source."""
+    """One block of one source.  Some documents of all lengths are set aside for the landing."""
     size, p, draw = (t[c].to_numpy().astype(float) for c in ("size", "p", "draw"))
+    last = t["blocks"][0].as_py() == 1
     order = np.lexsort((draw, -size))
-    moved = np.empty(len(p))
-    moved[order] = flight(size[order], p[order], draw[order])
-    if t["blocks"][0].as_py() == 1:
-        moved = land(size, moved)
+    order = order[(p[order] > _EPS) & (p[order] < 1 - _EPS)]
+    aside = np.unique(np.linspace(0, max(0, len(order) - 1), min(LANDING if last else ASIDE, len(order) // 2)).astype(int))
+    flying = np.delete(order, aside)
+    moved = np.where((p > _EPS) & (p < 1 - _EPS), p, np.round(p))
+    moved[flying] = flight(size[flying], p[flying], draw[flying])
+    if last:
+        moved = land(size, moved, draw)
     return t.set_column(t.column_names.index("p"), "p", pa.array(moved)).select(["doc_id", "source", "size", "base", "p", "draw"])
 
 
