@@ -10,7 +10,7 @@ _MODULES = {
     #"op3_embedding_dedup": "embedding_dedup",
     "op4_warc": "warc",
     "op5_mixing": "mixing",
-    #"op6_language_id": "language_id",
+    "op6_language_id": "language_id",
     "op7_decontamination": "decontamination",
     #"op8_ngram_join": "ngram_join",
     #"op9_license_scan": "license_scan",
