@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches of at most ``rows`` rows for the Python workers of the jobs run inside: for rows of many kilobytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 class Workspace:
     """Tables of one operator run, written under the shared folder, so that lost executors lose
     nothing and the lineage is cut.  ``drop`` deletes a table that no later plan reads."""
@@ -38,18 +52,17 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
         self._n = 0
 
     def path(self, name: str) -> str:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, rows: int = 2000) -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        with arrow_rows(self.spark, rows):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         out._staged_path = path
         return out
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltagraph.llm.common import Workspace, table
+from deltagraph.llm.common import Workspace, arrow_rows, table
 
 #: Equal payloads of at least this many bytes are stored once.
 REVISIT_BYTES = 1000
@@ -119,7 +119,8 @@ def write_warc(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
 
     done = kept.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(records, "record binary")
     writer = done.select(F.col("record").cast("string").alias("value")).write
-    writer.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    with arrow_rows(pages.sparkSession, 256):
+        writer.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def plain(content: bytes) -> bytes:
@@ -206,7 +207,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
             yield batch(rows)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    found = Workspace(spark, "warc").save(files.mapInArrow(records, PARSED), "parsed")
+    found = Workspace(spark, "warc").save(files.mapInArrow(records, PARSED), "parsed", rows=1)
     # rows that repeat in the source give equal records: each segment is kept once, with its number of copies
     segments = found.where(F.col("segment").isNotNull()).groupBy("origin_id", "segment").agg(
         F.count("*").cast("int").alias("copies"), F.max("total").alias("total"), F.max("page_id").alias("page_id"), F.max("digest").alias("digest"), F.first("data").alias("data"))
@@ -219,7 +220,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "archives")
     path = ws.path("warc")
     write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    back = ws.save(read_warc(spark, path), "records")
+    back = ws.save(read_warc(spark, path), "records", rows=64)
     own = back.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
     payload = back.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_id")).agg(F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
     revisits = back.where("record_type = 'revisit'").select("page_id", "refers_id", "record_type", "refers_to").join(payload, "refers_id", "left")
