@@ -7,7 +7,7 @@ import importlib
 _MODULES = {
     #"op1_line_dedup": "line_dedup",
     "op2_quality": "quality",
-    #"op3_embedding_dedup": "embedding_dedup",
+    "op3_embedding_dedup": "embedding_dedup",
     "op4_warc": "warc",
     "op5_mixing": "mixing",
     "op6_language_id": "language_id",
