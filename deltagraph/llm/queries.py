@@ -12,7 +12,7 @@ _MODULES = {
     "op5_mixing": "mixing",
     "op6_language_id": "language_id",
     "op7_decontamination": "decontamination",
-    #"op8_ngram_join": "ngram_join",
+    "op8_ngram_join": "ngram_join",
     "op9_license_scan": "license_scan",
     "op10_url_filter": "url_filter",
 }
