@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
-    #"op1_line_dedup": "line_dedup",
+    "op1_line_dedup": "line_dedup",
     "op2_quality": "quality",
     "op3_embedding_dedup": "embedding_dedup",
     "op4_warc": "warc",
