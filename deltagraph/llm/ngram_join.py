@@ -92,8 +92,12 @@ def _fingerprints(s: np.ndarray) -> tuple[int, int]:
     return int(f[0]), int(f[1])
 
 
-def _points(col: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(len(col), GROUPS).astype(np.int32)
+def _members(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """offsets, f1, n, root, points of a column of member lists."""
+    off, flat = col.offsets.to_numpy(zero_copy_only=False), col.values
+    f1, n, root = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("f1", "n", "root"))
+    points = np.frombuffer(b"".join(flat.field("vec").to_pylist()), np.uint16).reshape(-1, GROUPS).astype(np.int32)
+    return off, f1, n, root, points
 
 
 def needed(na, nb, num: int, den: int):
@@ -134,10 +138,9 @@ def _survivors(num: int, den: int, apart: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             aa, bb, again, keys = [], [], [], batch.column("key").to_pylist()
+            one, two = _members(batch.column("one")), _members(batch.column("two"))
             for row, key in enumerate(keys):
-                m, q = (batch.column(c)[row].values for c in ("one", "two"))
-                (fm, nm, rm), (fq, nq, rq) = ((p.field(f).to_numpy(zero_copy_only=False) for f in ("f1", "n", "root")) for p in (m, q))
-                vm, vq = _points(m.field("vec")), _points(q.field("vec"))
+                (fm, nm, rm, vm), (fq, nq, rq, vq) = ([x[p[0][row] : p[0][row + 1]] for x in p[1:]] for p in (one, two))
                 i, j, bound = tree_pairs(vm, nm, vq, nq, num, den)
                 ok = fm[i] < fq[j]
                 if batch.column("same")[row].as_py() is False:
