@@ -123,32 +123,16 @@ def delete_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ws = Workspace(docs.sparkSession, "lines")
     keyed = docs.withColumn("_dk", F.xxhash64(doc_id, text))
     copies = later_copies(keyed.select(F.col("_dk").alias("dk"), F.col(doc_id).alias("id"), F.col(text).alias("text")), ws, min_words)
-    gone = ws.save(copies.groupBy("dk").agg(F.collect_set(F.struct("start", "n")).alias("_runs")), "gone").withColumnRenamed("dk", "_dk")
-    names = [f.name for f in docs.schema]
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-
-    def rebuild(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            old, runs = b.column(text), b.column("_runs")
-            n_lines, removed, new = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), None
-            for i in range(b.num_rows):
-                t = old[i].as_py()
-                if t is None:
-                    continue
-                if not runs[i].is_valid:
-                    n_lines[i] = t.count("\n") + 1
-                    continue
-                lines = t.split("\n")
-                keep = np.ones(len(lines), bool)
-                for r in runs[i].as_py():
-                    keep[r["start"] : r["start"] + r["n"]] = False
-                n_lines[i], removed[i] = len(lines), int((~keep).sum())
-                new = old.to_pylist() if new is None else new
-                new[i] = "\n".join(x for x, k in zip(lines, keep) if k)
-            cols = [(old if new is None else pa.array(new, old.type)) if c == text else b.column(c) for c in names]
-            yield pa.record_batch([*cols, pa.array(n_lines), pa.array(removed)], [*names, "n_lines", "n_removed"])
-
-    return keyed.join(gone, "_dk", "left").select(*names, "_runs").mapInArrow(rebuild, f"{kept}, n_lines long, n_removed long")
+    places = copies.select("dk", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct()
+    gone = ws.save(places.groupBy(F.col("dk").alias("_dk")).agg(F.collect_list("pos").alias("_gone")), "gone")
+    # a one-element array binds the split text to a variable, so that it is split once
+    bound = F.array(F.struct(F.split(text, "\n", -1).alias("l"), F.col("_gone").alias("g")))
+    rest = F.transform(bound, lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x["l"]) - 1), x["g"]), lambda i: F.get(x["l"], i)))
+    new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.get(rest, F.lit(0)), "\n"))
+    lines = F.coalesce(F.regexp_count(text, F.lit("\n")) + 1, F.lit(0)).cast("long")
+    removed = F.coalesce(F.array_size("_gone"), F.lit(0)).cast("long")
+    names = [F.col(c) if c != text else new.alias(text) for c in docs.columns]
+    return keyed.join(gone, "_dk", "left").select(*names, lines.alias("n_lines"), removed.alias("n_removed"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
