@@ -228,7 +228,7 @@ def scan(docs: DataFrame, keep: list[str], scanner: Scanner | None = None, text:
                 yield pa.record_batch(cols, [*keep, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
 
     schema = f"{kept}, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, score double, spans {SPANS}"
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

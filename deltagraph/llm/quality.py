@@ -82,7 +82,7 @@ def statistics(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
             x = text_statistics(b.column(text))
             yield pa.record_batch([*[b.column(c) for c in keep], *[pa.array(c) for c in x.T]], [*keep, *[f"_{s}" for s in STATISTICS]])
 
-    return docs.select(*keep, text).mapInArrow(run, kept + "".join(f", _{s} double" for s in STATISTICS))
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, kept + "".join(f", _{s} double" for s in STATISTICS))
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, above, threshold), all must hold
