@@ -61,7 +61,8 @@ class Workspace:
     def save(self, df: DataFrame, name: str, rows: int = 2000) -> DataFrame:
         path = self.path(name)
         with arrow_rows(self.spark, rows):
-            df.write.parquet(path)
+            # zstd streams through small buffers; the default codec holds direct memory of the size of its largest page
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged_path = path
         return out
