@@ -58,25 +58,18 @@ class Adjacency:
         out = edges.select("src", F.col("dst"), weight.alias("weight")).join(degree, "src")
         part = F.when(F.col("chunks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("dst"), "chunks"))
         packed = out.groupBy(F.col("src").alias("id"), part.alias("part"), "degree").agg(F.collect_list(entry(F.col("dst"), F.col("weight"), False)).alias("entries"))
-        own = vertices.join(degree.select(F.col("src").alias("id"), "degree"), "id", "left").select("id", entry(F.col("id"), F.lit(1.0), True).alias("e"), F.coalesce("degree", F.lit(0)).alias("degree"), *data)
-        first = own.join(packed.select("id", "part", "entries"), "id", "left")
-        own_here = F.coalesce(F.col("part"), F.lit(0)) == F.coalesce(F.min("part").over(_by_id()), F.lit(0))
-        entries = F.coalesce("entries", F.array().cast("array<struct<dst:bigint,weight:double,own:boolean>>") if dict(edges.dtypes)["dst"] == "bigint" else F.slice(F.array("e"), 1, 0))
-        rows = first.select("id", F.when(own_here, F.concat(F.array("e"), entries)).otherwise(entries).alias("entries"), "degree", *data)
+        packed = packed.select("id", "entries", "degree")
+        if data:
+            packed = packed.join(vertices.select("id", *data), "id")
+        own = vertices.select("id", F.array(entry(F.col("id"), F.lit(1.0), True)).alias("entries"), F.lit(0).cast("long").alias("degree"), *data)
         n = int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = rows.repartition(n, "id")
+        rows = own.unionByName(packed).repartition(n, "id")
         return cls(rows.cache() if cache else rows, data)
 
     def release(self) -> None:
         self.rows.unpersist()
 
 
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("id")
-
-
 def initial_state(vertices: DataFrame, kernel: Kernel) -> DataFrame:
     """id, v, delta before the first round."""
     col = lambda c: F.col(c)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +24,8 @@ def threshold(state: DataFrame, kernel: Kernel, portion: float, exact: bool = Tr
     return F.lit(True) if at is None else pri >= F.lit(at)
 
 
-def top_portion(state: DataFrame, kernel: Kernel, portion: float) -> DataFrame:
-    """Ids of the ceil(portion * n) rows of the highest priority, ties by id."""
-    rows = priorities(state, kernel)
+def top_portion(state: DataFrame, kernel: Kernel, portion: float, digits: int = 9) -> DataFrame:
+    """Ids of the ceil(portion * n) rows of the highest priority (rounded, so that equal sums tie), ties by id."""
+    rows = priorities(state, kernel).withColumn("pri", F.round("pri", digits))
     n = rows.count()
-    return rows.orderBy(F.col("pri").desc(), "id").limit(-int(-portion * n // 1)).select("id")
+    return rows.orderBy(F.col("pri").desc(), "id").limit(math.ceil(portion * n)).select("id")
