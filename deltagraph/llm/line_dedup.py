@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltagraph.llm.common import Workspace, documents
+from deltagraph.llm.common import Workspace, documents, join_few
 from deltagraph.llm.tokens import SPACED, words
 
 #: A run of lines counts as a repeated passage if it has at least so many words.
@@ -132,7 +132,7 @@ def delete_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lines = F.coalesce(F.regexp_count(text, F.lit("\n")) + 1, F.lit(0)).cast("long")
     removed = F.coalesce(F.array_size("_gone"), F.lit(0)).cast("long")
     names = [F.col(c) if c != text else new.alias(text) for c in docs.columns]
-    return keyed.join(gone, "_dk", "left").select(*names, lines.alias("n_lines"), removed.alias("n_removed"))
+    return join_few(keyed, gone, "_dk").select(*names, lines.alias("n_lines"), removed.alias("n_removed"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
