@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltagraph.llm import decontamination, line_dedup, mixing, ngram_join, quality
-from deltagraph.llm.common import Workspace, documents, table
+from deltagraph.llm.common import Workspace, documents, join_few, table
 
 #: The later stages' texts: shingles of so many words, similarity in hundredths.
 SHINGLE, SIMILAR = 5, 80
@@ -23,8 +23,8 @@ SHINGLE, SIMILAR = 5, 80
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The documents whose ids are not in ``gone``."""
-    ids = gone.select(F.col("doc_id").alias("_gone_id")).where("_gone_id is not null").distinct()
-    return docs.join(ids, docs["doc_id"] == ids["_gone_id"], "left_anti")
+    ws = Workspace(docs.sparkSession, "gone")
+    return join_few(docs, ws.save(gone.select("doc_id").where("doc_id is not null").distinct(), "ids"), "doc_id", "left_anti")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
