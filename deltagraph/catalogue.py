@@ -255,7 +255,7 @@ def _(spark, sf):
     return top_portion(_fixed(spark, sf, "user_next", alg.pagerank(), 1), alg.pagerank(), PORTION)
 
 
-_CHOSEN = f"(r.delta <> 0 AND abs(r.delta) >= (SELECT quantile_cont(abs(delta), {1 - PORTION}) FROM r WHERE delta <> 0))"
+_CHOSEN = f"(r.delta <> 0 AND abs(r.delta) >= (1 - 1e-9) * (SELECT quantile_cont(abs(delta), {1 - PORTION}) FROM r WHERE delta <> 0))"
 
 
 @query("priority_round", _rounds("user_next", 4, **_PR, chosen=_CHOSEN) + "SELECT id, round(v, 6) AS v FROM r WHERE k = 4")

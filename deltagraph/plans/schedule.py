@@ -21,7 +21,8 @@ def threshold(state: DataFrame, kernel: Kernel, portion: float, exact: bool = Tr
     pending = state.where(kernel.is_pending(F.col("delta")))
     cut = F.percentile(pri, F.lit(1 - portion)) if exact else F.percentile_approx(pri, F.lit(1 - portion), F.lit(1000))
     at = pending.agg(cut.alias("cut")).first()["cut"]
-    return F.lit(True) if at is None else pri >= F.lit(at)
+    # equal priorities may differ in their last bits
+    return F.lit(True) if at is None else pri >= F.lit(at * (1 - 1e-9))
 
 
 def top_portion(state: DataFrame, kernel: Kernel, portion: float, digits: int = 9) -> DataFrame:
