@@ -178,7 +178,7 @@ def predict(docs: DataFrame, keep: list[str], trees: ContextTrees | None, text:
             yield pa.record_batch([*cols, pa.array(pred, pa.string()), pa.array(p), pa.array(best)], [*keep, "lang_pred", "score", "bits"])
 
     letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*keep, text, letter.alias("_letter")).mapInArrow(score, f"{kept}, lang_pred string, score double, bits double")
+    return docs.select(*dict.fromkeys([*keep, text]), letter.alias("_letter")).mapInArrow(score, f"{kept}, lang_pred string, score double, bits double")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

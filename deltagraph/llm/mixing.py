@@ -105,10 +105,11 @@ def land(size: np.ndarray, p: np.ndarray, draw: np.ndarray) -> np.ndarray:
 
 def _decide(t: pa.Table) -> pa.Table:
     """One block of one source.  Some documents of all lengths are set aside for the landing."""
+    # rows come in any order: from here on it is by size and draw
+    t = t.take(pa.array(np.lexsort(tuple(t[c].to_numpy() for c in ("p", "draw")) + (-t["size"].to_numpy(),))))
     size, p, draw = (t[c].to_numpy().astype(float) for c in ("size", "p", "draw"))
     last = t["blocks"][0].as_py() == 1
-    order = np.lexsort((draw, -size))
-    order = order[(p[order] > _EPS) & (p[order] < 1 - _EPS)]
+    order = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
     aside = np.unique(np.linspace(0, max(0, len(order) - 1), min(LANDING if last else ASIDE, len(order) // 2)).astype(int))
     flying = np.delete(order, aside)
     moved = np.where((p > _EPS) & (p < 1 - _EPS), p, np.round(p))
