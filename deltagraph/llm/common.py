@@ -88,7 +88,7 @@ FILTER_WORDS = 1 << 17
 
 
 def join_few(df: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """``df`` joined ("left" or "left_anti") on the long column ``key`` with a table that concerns few of its rows.
+    """``df`` joined ("left", "left_semi" or "left_anti") on the long column ``key`` with a table that concerns few of its rows.
 
     A bit filter of fixed size over the keys of ``right`` is broadcast; rows that it rules out are passed on as they are, so only the others are
     shuffled.  ``df`` is read twice and should be a plain scan.  If the filter fills up, more rows are shuffled and the result is the same."""
@@ -99,8 +99,10 @@ def join_few(df: DataFrame, right: DataFrame, key: str, how: str = "left") -> Da
     names = df.columns
     marked = df.withColumn("_word", F.pmod(hashed(), F.lit(FILTER_WORDS))).join(F.broadcast(bits), "_word", "left")
     hit = F.coalesce(F.col("_bits").bitwiseAND(mask) != 0, F.lit(False))
-    rest = marked.where(~hit).select(*names)
     some = marked.where(hit).select(*names).join(right.hint("merge"), key, how)
+    if how == "left_semi":
+        return some
+    rest = marked.where(~hit).select(*names)
     if how == "left":
         extra = [f for f in right.schema if f.name != key]
         rest = rest.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra])

@@ -2,7 +2,8 @@
 
 A set's shingles are hashed into groups; the group counts are a point.  The overlap of two sets is at most the sum of the
 coordinate minima of their points, and of two tree nodes at most that of their upper corners, so node pairs and then point pairs that can't
-reach the needed overlap fall away; what survives is verified on the sets themselves.
+reach the needed overlap fall away.  What survives meets finer points, with about four shingles a group, and is then verified on the
+sets themselves.
 
 The forest's directory makes this distributed without loss.  Sets that link differ in at most r shingles, so if the groups are dealt
 into r + 1 + 2e parts, at least 1 + 2e parts have equal counts; each set leaves out its e thinnest parts, and one common part remains.  The
@@ -24,18 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltagraph.llm.common import Workspace, documents
+from deltagraph.llm.common import Workspace, documents, join_few
 from deltagraph.llm.components import components, local_forest
 from deltagraph.llm.tokens import SPACED, mix, ngram_hashes, words
 
-#: Coordinates of a point, counters behind a part's signature, points of a tree node and of a page, growth of size classes.
-GROUPS, COUNTERS, NODE, PAGE, GROWTH = 64, 1 << 20, 16, 256, 1.3
+#: log2 of the coordinates of a point, sizes from which it has four times as many (and again), counters behind a part's signature, points of a tree node and of a page, growth of size classes.
+BITS, LARGE, COUNTERS, NODE, PAGE, GROWTH = 6, (1000, 5000), 1 << 20, 16, 256, 1.6
 #: A page pair with more survivors a point than this gives a forest first.
 DENSE = 4
 #: Bits of the filter that picks the texts of sets to verify (fixed size, whatever the input).
 FILTER_WORDS = 1 << 17
 
-SETS = "n long, f1 long, f2 long, vec binary, keys array<long>"
+SETS = "n long, f1 long, f2 long, vec binary, fine binary, keys array<long>"
 
 
 def size_classes(n: int, num: int, den: int) -> list[tuple[int, int]]:
@@ -92,12 +93,52 @@ def _fingerprints(s: np.ndarray) -> tuple[int, int]:
     return int(f[0]), int(f[1])
 
 
-def _members(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _members(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """offsets, f1, n, root, points of a column of member lists."""
-    off, flat = col.offsets.to_numpy(zero_copy_only=False), col.values
+    flat = col.values
     f1, n, root = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("f1", "n", "root"))
-    points = np.frombuffer(b"".join(flat.field("vec").to_pylist()), np.uint16).reshape(-1, GROUPS).astype(np.int32)
-    return off, f1, n, root, points
+    return col.offsets.to_numpy(zero_copy_only=False), f1, n, root, flat.field("vec").to_pylist()
+
+
+def _matrix(points: list[bytes], groups: int) -> np.ndarray:
+    """Points as rows, folded to ``groups`` groups."""
+    return np.stack([unpack(p).reshape(groups, -1).sum(1, dtype=np.int32) for p in points])
+
+
+def pack(p: np.ndarray) -> bytes:
+    """A point as bytes, one or two a count; it has 2^even groups, so the length tells which."""
+    return p.astype(np.uint8).tobytes() if p.max() < 256 else p.tobytes()
+
+
+def unpack(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, np.uint16 if len(b).bit_length() % 2 == 0 else np.uint8)
+
+
+def groups_of(b: bytes) -> int:
+    return len(b) // (2 - len(b).bit_length() % 2)
+
+
+def tree_point(s: np.ndarray) -> np.ndarray:
+    """The point that the trees hold: more groups for larger sets."""
+    return point(s, BITS + 2 * sum(len(s) >= n for n in LARGE))
+
+
+def fine_point(s: np.ndarray) -> np.ndarray:
+    """One to four shingles a group."""
+    bits = max(BITS, int(np.ceil(np.log2(max(1, len(s)) / 4))))
+    return point(s, bits + bits % 2)
+
+
+def point(s: np.ndarray, bits: int) -> np.ndarray:
+    """Counts in 2^bits groups, by the leading bits; 65535 everywhere if a count is larger, so that bounds stay bounds."""
+    count = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return count.astype(np.uint16) if count.max() < 65535 else np.full(1 << bits, 65535, np.uint16)
+
+
+def fine_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """Summed coordinate minima; the finer point is folded to the groups of the coarser one."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    return int(np.minimum(a.astype(np.int64), b.reshape(len(a), -1).sum(1, dtype=np.int64)).sum())
 
 
 def needed(na, nb, num: int, den: int):
@@ -112,7 +153,7 @@ def tree_pairs(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, num
         order = np.lexsort((p[:, 0], n))
         if len(p) > NODE * 4:  # sort-tile: slabs by size, then by a coordinate sum within each
             slab = np.arange(len(p)) // (NODE * 4)
-            order = order[np.lexsort((p[order, : GROUPS // 2].sum(1), slab))]
+            order = order[np.lexsort((p[order, : p.shape[1] // 2].sum(1), slab))]
         start = np.arange(0, len(p), NODE)
         return order, start, np.maximum.reduceat(p[order], start), np.minimum.reduceat(n[order], start)
 
@@ -140,7 +181,9 @@ def _survivors(num: int, den: int, apart: bool):
             aa, bb, again, keys = [], [], [], batch.column("key").to_pylist()
             one, two = _members(batch.column("one")), _members(batch.column("two"))
             for row, key in enumerate(keys):
-                (fm, nm, rm, vm), (fq, nq, rq, vq) = ([x[p[0][row] : p[0][row + 1]] for x in p[1:]] for p in (one, two))
+                (fm, nm, rm, pm), (fq, nq, rq, pq) = ([x[p[0][row] : p[0][row + 1]] for x in p[1:]] for p in (one, two))
+                groups = min(map(groups_of, pm + pq))
+                vm, vq = _matrix(pm, groups), _matrix(pq, groups)
                 i, j, bound = tree_pairs(vm, nm, vq, nq, num, den)
                 ok = fm[i] < fq[j]
                 if batch.column("same")[row].as_py() is False:
@@ -184,7 +227,18 @@ def _page_pairs(members: DataFrame, ws: Workspace, name: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, k: int, num: int, den: int, ws: Workspace) -> DataFrame:
-    """The pairs (a, b) that link, by their sets."""
+    """The pairs (a, b) that link: first by their fine points, then by their sets."""
+
+    def close(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            points = [[unpack(v.as_py()) for v in b.column(c)] for c in ("one", "two")]
+            need = needed(*(b.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb")), num, den)
+            keep = [fine_bound(x, y) >= n for x, y, n in zip(*points, need)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    fine = sets.where("n > 0").groupBy("f1").agg(F.first("fine").alias("fine"), F.first("n").alias("n"))
+    near = pairs.join(fine.select(F.col("f1").alias("a"), F.col("fine").alias("one"), F.col("n").alias("na")), "a").join(fine.select(F.col("f1").alias("b"), F.col("fine").alias("two"), F.col("n").alias("nb")), "b")
+    pairs = ws.save(near.select("a", "b", "one", "two", "na", "nb").mapInArrow(close, "a long, b long"), "close")
     wanted = pairs.select(F.col("a").alias("f1")).unionByName(pairs.select(F.col("b").alias("f1"))).distinct()
     chosen = sets.select("f1", "doc_key").join(wanted, "f1").groupBy("f1").agg(F.min("doc_key").alias("doc_key"))
     bit = F.pmod(F.xxhash64("doc_key"), F.lit(FILTER_WORDS * 64))
@@ -246,31 +300,35 @@ def similar_groups(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", tex
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                n, f1, f2, vec, keys = [], [], [], [], []
+                n, f1, f2, vec, fine, keys = [], [], [], [], [], []
                 for s in text_sets(part.column(text), k):
                     p, q = _fingerprints(s)
                     n.append(len(s))
                     f1.append(p)
                     f2.append(q)
-                    count = np.bincount((s >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS)
-                    vec.append(np.minimum(count, 65535).astype(np.uint16).tobytes() if count.max() < 65535 else np.full(GROUPS, 65535, np.uint16).tobytes())
+                    vec.append(pack(tree_point(s)))
+                    fine.append(pack(fine_point(s)))
                     keys.append(set_keys(s, num, den))
                 offsets = np.zeros(len(keys) + 1, np.int32)
                 np.cumsum([len(x) for x in keys], out=offsets[1:])
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
-                yield pa.record_batch([*[part.column(c) for c in [*keep, "doc_key"]], pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(vec, pa.binary()), lists], [*keep, "doc_key", "n", "f1", "f2", "vec", "keys"])
+                yield pa.record_batch([*[part.column(c) for c in [*keep, "doc_key"]], pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(vec, pa.binary()), pa.array(fine, pa.binary()), lists], [*keep, "doc_key", "n", "f1", "f2", "vec", "fine", "keys"])
 
     source = docs.select(*keep, _doc_key(docs, text).alias("doc_key"), text)
     sets = ws.save(source.mapInArrow(build, f"{kept}, doc_key long, {SETS}"), "sets")
     full = sets.where("n > 0")
     keyed = full.select("f1", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("key")
-    one_each = keyed.join(shared, "key", "left_semi").select("key", "f1").distinct()
+    shared = ws.save(keyed.groupBy("key").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("key"), "shared")
+    one_each = ws.save(join_few(keyed, shared, "key", "left_semi").select("key", "f1").distinct(), "members")
     points = full.groupBy("f1").agg(F.first("n").alias("n"), F.first("vec").alias("vec"))
-    members = one_each.join(points, "f1").select("key", "f1", "n", "vec", F.col("f1").alias("root"))
+    sizes = ws.save(one_each.groupBy("key").agg(F.count("*").alias("c"), F.min("f1").alias("a"), F.max("f1").alias("b")), "sizes")
+    # two sets need no tree: their fine points are compared at once
+    two = sizes.where("c = 2").select("a", "b").distinct()
+    crowded = one_each.join(sizes.where("c > 2").select("key"), "key", "left_semi")
+    members = crowded.join(points, "f1").select("key", "f1", "n", "vec", F.col("f1").alias("root"))
     schema = "a long, b long, again long"
     found = ws.save(_page_pairs(members, ws, "pages").select("key", "one", "two", "same").mapInArrow(_survivors(num, den, False), schema), "found", rows=256)
-    links = _verified(ws.save(found.where("a is not null").select("a", "b").distinct(), "pairs"), sets, docs, text, k, num, den, ws)
+    links = _verified(ws.save(found.where("a is not null").select("a", "b").unionByName(two).distinct(), "pairs"), sets, docs, text, k, num, den, ws)
     roots = components(links, ws)
     again = found.where("again is not null").select(F.col("again").alias("key")).distinct()
     if not again.isEmpty():

@@ -135,8 +135,9 @@ def test_linked_sets_share_a_key_and_pass_the_bound(seed, common, extra, limit):
     a, b = pool[rng.random(len(pool)) < 0.95], pool[rng.random(len(pool)) < 0.95]
     if len(a) and len(b) and den * len(np.intersect1d(a, b)) >= num * len(np.union1d(a, b)) and len(np.setxor1d(a, b)):
         assert np.intersect1d(ngram_join.set_keys(a, num, den), ngram_join.set_keys(b, num, den)).size
-        point = lambda s: np.bincount((s >> np.uint64(20)).astype(np.int64) % ngram_join.GROUPS, minlength=ngram_join.GROUPS)[None, :]
+        point = lambda s: ngram_join.tree_point(s).astype(np.int32)[None, :]
         assert len(ngram_join.tree_pairs(point(a), np.array([len(a)]), point(b), np.array([len(b)]), num, den)[0]) == 1
+        assert ngram_join.fine_bound(ngram_join.fine_point(a), ngram_join.fine_point(b)) >= ngram_join.needed(len(a), len(b), num, den)
 
 
 # --- embeddings
