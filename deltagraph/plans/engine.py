@@ -38,7 +38,16 @@ def truncate(df: DataFrame, folder: str) -> DataFrame:
     """Cut the lineage with a table in the shared folder."""
     path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a truncated table that nothing reads any more."""
+    if path := getattr(df, "_path", None):
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @dataclass
@@ -157,11 +166,12 @@ def run(state: DataFrame, adj: Adjacency, kernel: Kernel, options: Options | Non
     if o.portion < 1:
         state = truncate(state, folder)
     while not done and k < o.max_rounds:
+        before = [state]
         for _ in range(min(o.check_every, o.max_rounds - k)):
             chosen = threshold(state, kernel, o.portion, o.exact) if o.portion < 1 else None
             state = one_round(state, adj, kernel, chosen, o.strict)
             if o.portion < 1:
-                state = truncate(state, folder)
+                before.append(state := truncate(state, folder))
             k += 1
         if o.portion >= 1:
             state = truncate(state, folder)
@@ -169,5 +179,8 @@ def run(state: DataFrame, adj: Adjacency, kernel: Kernel, options: Options | Non
         log.append({"round": k, "current": row["current"], "residual": row["residual"], "active": row["active"], "elapsed": time.time() - began})
         if o.on_round:
             o.on_round(k, state)
+        for old in before:
+            if old is not state:
+                forget(old)
         done = row["active"] == 0 or bool(o.checker and o.checker.terminate(row["current"], row["residual"]))
     return Result(state, log, done)

@@ -23,7 +23,7 @@ def read_vertices(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
-    return _lines(spark, path).select(F.col("key").cast("bigint").alias("src"), F.explode(_tokens(F.col("rest"))).cast("bigint").alias("dst"))
+    return _lines(spark, path).select(F.col("key").cast("bigint").alias("src"), F.explode(F.transform(_tokens(F.col("rest")), lambda t: t.cast("bigint"))).alias("dst"))
 
 
 def read_weighted(spark: SparkSession, path: str) -> DataFrame:

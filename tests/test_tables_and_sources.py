@@ -1,12 +1,13 @@
 """Table operations, partitioners, text formats and generators."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from deltagraph.functions import scalars
-from deltagraph.operators import partition, table_ops, udf
+from deltagraph.operators import partition, shards, table_ops, udf
 from deltagraph.operators.algorithms import pagerank
-from deltagraph.sources import adjacency, generate
+from deltagraph.sources import adjacency, files, generate
 
 
 @pytest.fixture(scope="module")
@@ -61,3 +62,37 @@ def test_generator_is_reproducible_and_has_no_loops(spark):
 def test_histogram(spark):
     df = spark.createDataFrame([(0.0,), (1.0,), (1.01,)], "x double")
     assert sum(r["n"] for r in scalars.histogram(df, "x").collect()) == 3
+
+
+def test_files_and_progress_log(spark, tmp_path):
+    base = f"file://{tmp_path}/f"
+    files.mkdirs(spark, base)
+    (tmp_path / "f" / "a.txt").write_text("x\ny")
+    assert files.exists(spark, f"{base}/a.txt") and files.stat(spark, f"{base}/*.txt")[0][1] == 3
+    assert files.move(spark, f"{base}/a.txt", f"{base}/b.txt") and [p.rsplit("/", 1)[1] for p in files.glob(spark, f"{base}/*")] == ["b.txt"]
+    assert files.lines(spark, f"{base}/b.txt").count() == 2 and bytes(files.whole(spark, base).first()["content"]) == b"x\ny"
+    progress = spark.createDataFrame([(2, 1.5), (1, 0.5)], "round int, current double")
+    files.write_progress(progress, f"{base}/log")
+    assert [r["value"] for r in files.lines(spark, f"{base}/log").collect()] == ["round 1\tcurrent 0.5", "round 2\tcurrent 1.5"]
+    assert files.remove(spark, base) and not files.exists(spark, base)
+
+
+def test_functions_on_shards(spark):
+    df = spark.range(40).select("id", (F.col("id") * 1.0).alias("v"))
+
+    def total(batches):
+        yield pd.DataFrame({"s": [sum(float(b["v"].sum()) for b in batches)]})
+
+    shard = partition.mod(F.col("id"), 4)
+    assert sum(r["s"] for r in shards.run_all(df, shard, 4, total, "s double").collect()) == 780
+    assert sum(r["s"] for r in shards.run_range(df, shard, 4, [0, 1], total, "s double").collect()) == 370
+    assert sum(r["s"] for r in shards.run_one(df, shard, 3, total, "s double").collect()) == 210
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from deltagraph.__main__ import main
+
+    (tmp_path / "g.txt").write_text("0\t1,4 2,1 \n1\t3,1 \n2\t1,2 3,5\n4\t0,1\n3\t\n")
+    main(["shortest_paths", "--graph", f"file://{tmp_path}/g.txt", "--weighted", "--result", f"file://{tmp_path}/out", "--vertices", "5", "--set", "source=0", "--log", f"file://{tmp_path}/log"])
+    got = {r["id"]: r["v"] for r in adjacency.read_result(spark, f"file://{tmp_path}/out").collect()}
+    assert got == {0: 0.0, 1: 3.0, 2: 1.0, 3: 4.0, 4: None} and "converged: True" in capsys.readouterr().out
