@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,6 +110,23 @@ def join_few(df: DataFrame, right: DataFrame, key: str, how: str = "left") -> Da
     return rest.unionByName(some)
 
 
+def carrying(f):
+    """For operators f(docs, keep, ...): the kept columns travel under names of their own, so that they may be called anything.
+
+    A kept column with the name of a result column gives way to the result."""
+
+    @wraps(f)
+    def run(docs: DataFrame, keep: list[str], *args, **named) -> DataFrame:
+        keep = list(dict.fromkeys(keep))
+        inner = [f"_kept{i}" for i in range(len(keep))]
+        used = [c for c in (named.get("text", "text"), named.get("doc_id", "doc_id")) if c in docs.columns]
+        out = f(docs.select(*[F.col(c).alias(k) for c, k in zip(keep, inner)], *used), inner, *args, **named)
+        made = [c for c in out.columns if c not in inner]
+        return out.select(*[F.col(k).alias(c) for c, k in zip(keep, inner) if c not in made], *made)
+
+    return run
+
+
 def crc_mod(doc_id, m: int):
     """crc32 of the id as text, modulo m; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % m

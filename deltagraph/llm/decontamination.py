@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltagraph.llm.common import Workspace, documents, table
+from deltagraph.llm.common import Workspace, carrying, documents, table
 from deltagraph.llm.tokens import ALNUM, words
 
 WINDOW = 10
@@ -174,7 +174,8 @@ def _item_blocks(items: DataFrame, item_id: str, text: str, most: int) -> Iterat
         yield ids, lists
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+@carrying
+def _decontaminate(docs: DataFrame, keep: list[str], items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The ``keep`` columns of every row of ``docs`` plus n_words, n_hit, items (ids as strings, sorted) and spans (start, end in words).
 
     A word is hit if it lies in an occurrence of ``window`` consecutive words of an item, or of all of an item that has fewer.
@@ -238,6 +239,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, keep: list[str], text: str
     return state.select(*keep, "n_words", "n_hit", "items", "spans")
 
 
+def decontaminate(docs: DataFrame, items: DataFrame, keep: list[str], **how) -> DataFrame:
+    """See ``_decontaminate``; ``how``: text, item_id, item_text, window, block_words."""
+    return _decontaminate(docs, keep, items, **how)
+
+
 def proximity(index: DataFrame, keep: list[str], query: str, within: int) -> DataFrame:
     """Rows of an index in which all words of ``query`` lie within ``within`` consecutive words: the ``keep`` columns, start and end of the
     shortest such stretch (the first of equals)."""

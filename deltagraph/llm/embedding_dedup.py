@@ -6,7 +6,7 @@ radius at which the target recall is reached; that radius is calibrated on pairs
 cell's members meet in pages of bounded size, are compared exactly in double precision, and a page pair returns link counts and
 a spanning forest of its links, never the links one by one.
 
-The codebooks are fitted on a bounded sample (``SAMPLE`` vectors by a hash of their class); every vector is indexed and every vector is a query.
+Vectors are kept in the precision they come in and compared in double precision.  The codebooks are fitted on a bounded sample (``SAMPLE`` vectors by a hash of their class); every vector is indexed and every vector is a query.
 Equal vectors are one class with a multiplicity.  Members and visitors of a hot cell are split into pages, and each member page is
 its own join key.
 """
@@ -104,8 +104,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-ASSIGNED = "node long, mult long, cell long, visits array<long>, vec array<double>"
-POINTS = "array<struct<node:long,mult:long,cell:long,visits:array<long>,vec:array<double>>>"
+ASSIGNED = "node long, mult long, cell long, visits array<long>, vec "
 FOUND = "node long, n long, other long"
 
 
@@ -125,7 +124,7 @@ def _compare(cosine: float):
             for row in range(b.num_rows):
                 m, q = (b.column(c)[row].values for c in ("members", "visitors"))
                 mn, qn, mm, qm = (p.field(f).to_numpy(zero_copy_only=False) for f in ("node", "mult") for p in (m, q))
-                hit = _matrix(q.field("vec")) @ _matrix(m.field("vec")).T >= cosine
+                hit = _unit(_matrix(q.field("vec"))) @ _unit(_matrix(m.field("vec"))).T >= cosine
                 hit &= qn[:, None] != mn[None, :]
                 qi, mi = np.nonzero(hit)
                 if len(qi):
@@ -176,10 +175,9 @@ def _links_of(classes: DataFrame, n: int, ws: Workspace, cosine: float, target:
             else:
                 own, visits = index.visits(x)
             lists = pa.array(visits, pa.list_(pa.int64()))
-            vec = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] if len(x) else 0)), pa.array(x.ravel()))
-            yield pa.record_batch([b.column("node"), b.column("mult"), pa.array(own.astype(np.int64)), lists, vec], ["node", "mult", "cell", "visits", "vec"])
+            yield pa.record_batch([b.column("node"), b.column("mult"), pa.array(own.astype(np.int64)), lists, b.column("vec")], ["node", "mult", "cell", "visits", "vec"])
 
-    assigned = ws.save(classes.select("node", "mult", "vec").mapInArrow(assign, ASSIGNED), "assigned", rows=1000)
+    assigned = ws.save(classes.select("node", "mult", "vec").mapInArrow(assign, ASSIGNED + dict(classes.dtypes)["vec"]), "assigned", rows=1000)
     members = ws.save(_pages(assigned, "cell").select("at", "page", "of", F.col("points").alias("members")), "members")
     # visitors need no list of their own visits
     visiting = assigned.select("node", "mult", "cell", F.explode(F.concat(F.array("cell"), "visits")).alias("to"), F.array().cast("array<long>").alias("visits"), "vec")
@@ -200,7 +198,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vec: str = "embe
     v = F.col(vec).cast("array<double>")
     fine = F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     valid = v.isNotNull() & ~F.coalesce(fine, F.lit(True)) & F.coalesce(F.exists(v, lambda e: e != 0), F.lit(False))
-    rows = ws.save(vectors.select(F.col(vec_id).alias("vec_id"), valid.alias("valid"), F.xxhash64(v).alias("h1"), F.hash(v).alias("h2"), v.alias("vec")), "rows")
+    rows = ws.save(vectors.select(F.col(vec_id).alias("vec_id"), valid.alias("valid"), F.xxhash64(v).alias("h1"), F.hash(v).alias("h2"), F.col(vec).alias("vec")), "rows")
     classes = rows.where("valid").groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.count("*").alias("mult"), F.first("vec").alias("vec"))
     classes = ws.save(classes.select("h1", "h2", "first", "mult", F.coalesce("first", -1 - F.shiftrightunsigned("h1", 1)).alias("node"), F.size("vec").alias("dim"), "vec"), "classes")
     found = None

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltagraph.llm.common import Workspace, crc_mod, documents
+from deltagraph.llm.common import Workspace, carrying, crc_mod, documents
 from deltagraph.llm.tokens import PIECE, text_buffer
 
 ORDER = 3
@@ -154,6 +154,7 @@ def train(rows: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> ContextT
     return ContextTrees(stats, order) if stats else None
 
 
+@carrying
 def predict(docs: DataFrame, keep: list[str], trees: ContextTrees | None, text: str = "text") -> DataFrame:
     """The ``keep`` columns plus lang_pred, score (posterior of the winner under equal priors) and bits (its code length).
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltagraph.llm.common import documents
+from deltagraph.llm.common import carrying, documents
 from deltagraph.llm.tokens import ALNUM, hash_word, word_lists, words
 
 #: Phrases that give a label wherever they stand.
@@ -189,6 +189,7 @@ class Scanner:
 SPANS = "array<struct<label:string,first:long,end:long,cover:double>>"
 
 
+@carrying
 def scan(docs: DataFrame, keep: list[str], scanner: Scanner | None = None, text: str = "text") -> DataFrame:
     """The ``keep`` columns plus n_words, n_base, first_word, last_word, base_labels, labels (arrays), score and spans.
 

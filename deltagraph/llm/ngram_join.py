@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltagraph.llm.common import Workspace, documents, join_few
+from deltagraph.llm.common import Workspace, carrying, documents, join_few
 from deltagraph.llm.components import components, local_forest
 from deltagraph.llm.tokens import SPACED, mix, ngram_hashes, words
 
@@ -204,16 +204,17 @@ def _survivors(num: int, den: int, apart: bool):
                     bb.append(fq[j])
             a = np.concatenate(aa) if aa else np.zeros(0, np.int64)
             b = np.concatenate(bb) if bb else np.zeros(0, np.int64)
+            a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             n = len(again)
             yield pa.record_batch([
-                pa.array([*np.minimum(a, b).tolist(), *[None] * n], pa.int64()), pa.array([*np.maximum(a, b).tolist(), *[None] * n], pa.int64()),
+                pa.array([*a.tolist(), *[None] * n], pa.int64()), pa.array([*b.tolist(), *[None] * n], pa.int64()),
                 pa.array([None] * len(a) + again, pa.int64())], ["a", "b", "again"])
 
     return run
 
 
-def _page_pairs(members: DataFrame, ws: Workspace, name: str) -> DataFrame:
-    """Pages of the members (key, f1, n, vec, root) of each key, paired: key, one, two, same."""
+def _candidates(members: DataFrame, num: int, den: int, apart: bool, ws: Workspace, name: str) -> DataFrame:
+    """a, b, again: survivors of all page pairs of the members (key, f1, n, vec, root) of each key."""
     hot = members.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > PAGE)
     of = F.coalesce(F.ceil(F.col("c") / PAGE), F.lit(1))
     dealt = members.join(hot, "key", "left").withColumn("page", F.pmod(F.xxhash64("f1"), of))
@@ -223,7 +224,11 @@ def _page_pairs(members: DataFrame, ws: Workspace, name: str) -> DataFrame:
     several = pages.where("of > 1")
     left = several.withColumn("with", F.explode(F.sequence(F.col("page"), F.col("of") - 1)))
     both = left.select("key", F.col("page").alias("own"), F.col("with").alias("page"), F.col("points").alias("one")).join(several.select("key", "page", F.col("points").alias("two")), ["key", "page"])
-    return alone.unionByName(both.select("key", "one", "two", (F.col("own") == F.col("page")).alias("same")))
+    both = both.select("key", "one", "two", (F.col("own") == F.col("page")).alias("same"))
+    # rows are large where a key has several pages, so few of them make a batch
+    schema, run = "a long, b long, again long", _survivors(num, den, apart)
+    found = ws.save(alone.mapInArrow(run, schema), f"{name}-few", rows=64)
+    return found.unionByName(ws.save(both.mapInArrow(run, schema), f"{name}-many", rows=4))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, k: int, num: int, den: int, ws: Workspace) -> DataFrame:
@@ -287,6 +292,7 @@ def _doc_key(docs: DataFrame, text: str):
     return F.xxhash64(F.col(text))
 
 
+@carrying
 def similar_groups(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """The ``keep`` columns of every row plus n_shingles and component_id.
 
@@ -294,7 +300,9 @@ def similar_groups(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", tex
     sequence).  Texts without words, or null, have the empty set and link with nothing.  component_id is the smallest doc_id reachable by
     links; null ids never name a component, unless it has no other.  Repeated rows are all returned."""
     ws = Workspace(docs.sparkSession, "ngrams")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
+    docs = docs.withColumn("_id", F.col(doc_id).cast("long"))
+    own = [*keep, "_id"]
+    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -312,9 +320,9 @@ def similar_groups(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", tex
                 offsets = np.zeros(len(keys) + 1, np.int32)
                 np.cumsum([len(x) for x in keys], out=offsets[1:])
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
-                yield pa.record_batch([*[part.column(c) for c in [*keep, "doc_key"]], pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(vec, pa.binary()), pa.array(fine, pa.binary()), lists], [*keep, "doc_key", "n", "f1", "f2", "vec", "fine", "keys"])
+                yield pa.record_batch([*[part.column(c) for c in [*own, "doc_key"]], pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(vec, pa.binary()), pa.array(fine, pa.binary()), lists], [*own, "doc_key", "n", "f1", "f2", "vec", "fine", "keys"])
 
-    source = docs.select(*keep, _doc_key(docs, text).alias("doc_key"), text)
+    source = docs.select(*own, _doc_key(docs, text).alias("doc_key"), text)
     sets = ws.save(source.mapInArrow(build, f"{kept}, doc_key long, {SETS}"), "sets")
     full = sets.where("n > 0")
     keyed = full.select("f1", F.explode("keys").alias("key"))
@@ -326,8 +334,7 @@ def similar_groups(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", tex
     two = sizes.where("c = 2").select("a", "b").distinct()
     crowded = one_each.join(sizes.where("c > 2").select("key"), "key", "left_semi")
     members = crowded.join(points, "f1").select("key", "f1", "n", "vec", F.col("f1").alias("root"))
-    schema = "a long, b long, again long"
-    found = ws.save(_page_pairs(members, ws, "pages").select("key", "one", "two", "same").mapInArrow(_survivors(num, den, False), schema), "found", rows=256)
+    found = _candidates(members, num, den, False, ws, "pages")
     links = _verified(ws.save(found.where("a is not null").select("a", "b").unionByName(two).distinct(), "pairs"), sets, docs, text, k, num, den, ws)
     roots = components(links, ws)
     again = found.where("again is not null").select(F.col("again").alias("key")).distinct()
@@ -335,14 +342,14 @@ def similar_groups(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", tex
         # dense keys: what their forests have joined needs no more looking at
         part = ws.save(one_each.join(again, "key", "left_semi"), "dense")
         part = part.join(points, "f1").join(roots.select(F.col("node").alias("f1"), "root"), "f1", "left").select("key", "f1", "n", "vec", F.coalesce("root", "f1").alias("root"))
-        rest = _page_pairs(part, ws, "dense-pages").mapInArrow(_survivors(num, den, True), schema).where("a is not null").select("a", "b").distinct()
+        rest = _candidates(part, num, den, True, ws, "dense-pages").select("a", "b").distinct()
         more = _verified(ws.save(rest, "pairs"), sets, docs, text, k, num, den, ws)
         roots = components(links.unionByName(more), ws)
-    ids = full.groupBy("f1").agg(F.min(doc_id).alias("first")).join(roots.select(F.col("node").alias("f1"), "root"), "f1", "left").withColumn("root", F.coalesce("root", "f1"))
+    ids = full.groupBy("f1").agg(F.min("_id").alias("first")).join(roots.select(F.col("node").alias("f1"), "root"), "f1", "left").withColumn("root", F.coalesce("root", "f1"))
     ids = ws.save(ids, "ids")
     named = ids.join(ids.groupBy("root").agg(F.min("first").alias("component")), "root").select("f1", "component")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col(doc_id))
-    return sets.select(*keep, "n", "f1").join(named, "f1", "left").select(*keep, F.col("n").alias("n_shingles"), component.alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_id"))
+    return sets.select(*own, "n", "f1").join(named, "f1", "left").select(*keep, F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

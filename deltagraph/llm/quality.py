@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltagraph.llm.common import crc_mod, documents, small, table
+from deltagraph.llm.common import carrying, crc_mod, documents, small, table
 from deltagraph.llm.tokens import SPACED, words
 
 #: Labelled rows to learn from, as expected number; rows are chosen by a hash of their id.
@@ -201,6 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     return RuleEnsemble.fit(got[[f"_{s}" for s in STATISTICS]].to_numpy(float), got["_label"].to_numpy(float))
 
 
+@carrying
 def score(docs: DataFrame, keep: list[str], model: RuleEnsemble, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The ``keep`` columns plus score (0 to 1) and predicted (1 if score >= threshold).  Null and empty texts are scored too; every row gets one result."""
     return statistics(docs, keep, text).withColumn("score", model.column()).withColumn("predicted", (F.col("score") >= threshold).cast("int")).select(*keep, "score", "predicted")

@@ -223,3 +223,19 @@ def test_held_out_quality(spark):
     labels = spark.read.parquet(f"{ROOT_TABLES}/labels.parquet")
     got = quality.op2_quality(spark, ROOT_TABLES).join(labels, "doc_id").where("held_out")
     assert got.where("predicted = quality").count() >= 0.85 * got.count()
+
+
+def test_kept_columns_may_have_any_name(spark):
+    from deltagraph.llm import decontamination, ngram_join
+
+    names = ["doc_id", "n", "f1", "keys", "score", "terms", "lang_pred", "n_words", "root", "_letter", "text"]
+    docs = spark.createDataFrame([(1, *"abcdefghi", "one two three"), (2, *"abcdefghi", None)], ["doc_id", *names[1:]])
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    items = spark.createDataFrame([(1, "two three")], "item_id long, text string")
+    trees = language_id.train(docs.withColumn("lang", F.lit("en")))
+    for out in (
+        ngram_join.similar_groups(docs, names), license_scan.scan(docs, names), language_id.predict(docs, names, trees),
+        quality.score(docs, names, quality.RuleEnsemble()), decontamination.decontaminate(docs, items, names),
+    ):
+        rows = out.collect()
+        assert len(rows) == 2 and len(set(out.columns)) == len(out.columns) and set(names) <= set(out.columns) and {r["f1"] for r in rows} == {"b"}
