@@ -84,22 +84,23 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
-#: Words of 64 bits in the filter of join_few: its table never has more rows than this, whatever the input.
+#: Words of 64 bits in the filter of join_few (two bits a key): its table never has more rows than this, whatever the input.
 FILTER_WORDS = 1 << 17
 
 
-def join_few(df: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+def join_few(df: DataFrame, right: DataFrame, key: str, how: str = "left", words: int = FILTER_WORDS) -> DataFrame:
     """``df`` joined ("left", "left_semi" or "left_anti") on the long column ``key`` with a table that concerns few of its rows.
 
     A bit filter of fixed size over the keys of ``right`` is broadcast; rows that it rules out are passed on as they are, so only the others are
     shuffled.  ``df`` is read twice and should be a plain scan.  If the filter fills up, more rows are shuffled and the result is the same."""
     hashed = lambda: F.xxhash64(key)
-    word, bit = F.pmod(hashed(), F.lit(FILTER_WORDS)).alias("_word"), F.pmod(F.shiftrightunsigned(hashed(), 32), F.lit(64)).cast("int")
-    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    word = F.pmod(hashed(), F.lit(words)).alias("_word")
+    one = lambda shift: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftrightunsigned(hashed(), shift), F.lit(64)).cast("int"))
+    mask = one(32).bitwiseOR(one(48))
     bits = right.select(word, mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
     names = df.columns
-    marked = df.withColumn("_word", F.pmod(hashed(), F.lit(FILTER_WORDS))).join(F.broadcast(bits), "_word", "left")
-    hit = F.coalesce(F.col("_bits").bitwiseAND(mask) != 0, F.lit(False))
+    marked = df.withColumn("_word", F.pmod(hashed(), F.lit(words))).join(F.broadcast(bits), "_word", "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(mask) == mask, F.lit(False))
     some = marked.where(hit).select(*names).join(right.hint("merge"), key, how)
     if how == "left_semi":
         return some

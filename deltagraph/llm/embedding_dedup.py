@@ -108,10 +108,10 @@ ASSIGNED = "node long, mult long, cell long, visits array<long>, vec "
 FOUND = "node long, n long, other long"
 
 
-def _pages(assigned: DataFrame, key: str) -> DataFrame:
+def _pages(assigned: DataFrame, key: str, ws: Workspace) -> DataFrame:
     """Pages (cell, page, points) of about PAGE rows each, by the cell in column ``key``."""
     rows = assigned.select(F.col(key).alias("at"), F.struct("node", "mult", "cell", "visits", "vec").alias("p"))
-    hot = rows.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") > PAGE)
+    hot = ws.save(rows.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") > PAGE), "hot")
     split = F.coalesce(F.ceil(F.col("n") / PAGE), F.lit(1))
     dealt = rows.join(hot, "at", "left").withColumn("page", F.pmod(F.xxhash64("p.node"), split))
     return dealt.groupBy("at", "page", split.alias("of")).agg(F.collect_list("p").alias("points"))
@@ -178,11 +178,11 @@ def _links_of(classes: DataFrame, n: int, ws: Workspace, cosine: float, target:
             yield pa.record_batch([b.column("node"), b.column("mult"), pa.array(own.astype(np.int64)), lists, b.column("vec")], ["node", "mult", "cell", "visits", "vec"])
 
     assigned = ws.save(classes.select("node", "mult", "vec").mapInArrow(assign, ASSIGNED + dict(classes.dtypes)["vec"]), "assigned", rows=1000)
-    members = ws.save(_pages(assigned, "cell").select("at", "page", "of", F.col("points").alias("members")), "members")
+    members = ws.save(_pages(assigned, "cell", ws).select("at", "page", "of", F.col("points").alias("members")), "members")
     # visitors need no list of their own visits
     visiting = assigned.select("node", "mult", "cell", F.explode(F.concat(F.array("cell"), "visits")).alias("to"), F.array().cast("array<long>").alias("visits"), "vec")
     occupied = members.select("at", F.col("of")).distinct()
-    visitors = _pages(visiting.join(occupied.select(F.col("at").alias("to")), "to", "left_semi"), "to").select("at", F.col("points").alias("visitors"))
+    visitors = _pages(visiting.join(occupied.select(F.col("at").alias("to")), "to", "left_semi"), "to", ws).select("at", F.col("points").alias("visitors"))
     each = visitors.join(occupied, "at").withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
     pairs = each.select("at", "page", "visitors").join(members.select("at", "page", "members"), ["at", "page"])
     found = ws.save(pairs.select("members", "visitors").mapInArrow(_compare(cosine), FOUND), "found", rows=8)
@@ -211,7 +211,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vec: str = "embe
     roots = components(found.where("n = 0").select(F.col("node").alias("a"), F.col("other").alias("b")), ws)
     told = classes.join(counts, "node", "left").join(roots, "node", "left").select("h1", "h2", "first", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
     told = ws.save(told, "told")
-    least = told.groupBy("root").agg(F.min("first").alias("component"))
+    least = ws.save(told.groupBy("root").agg(F.min("first").alias("component")), "least")
     told = told.join(least, "root").select("h1", "h2", "n_links", "component")
     number = told.count()
     out = rows.drop("vec").join(small(told.withColumn("valid", F.lit(True)), number), ["h1", "h2", "valid"], "left")

@@ -79,13 +79,14 @@ def _ranked(pairs: DataFrame, ws: Workspace, name: str) -> DataFrame:
     return ws.save(ordered.select("r1", "r2", F.monotonically_increasing_id().alias("rank")), name)
 
 
-def _later_copies(runs: DataFrame, level: DataFrame, span: int) -> DataFrame:
+def _later_copies(runs: DataFrame, level: DataFrame, span: int, ws: Workspace) -> DataFrame:
     """dk, start, n of the runs (dk, id, start, n; span <= n < 2 span) that also start earlier."""
     head = level.select("dk", F.col("pos").alias("start"), F.col("rank").alias("ra"))
     tail = level.select("dk", F.col("pos").alias("at"), F.col("rank").alias("rb"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "dk", "start")
     named = runs.withColumn("at", F.col("start") + F.col("n") - span).join(head, ["dk", "start"]).join(tail, ["dk", "at"]).select("dk", "start", "n", "ra", "rb", place.alias("place"))
-    first = named.groupBy("n", "ra", "rb").agg(F.min("place").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    # stored, so that the join back has an exchange on either side and a hot run can be split
+    first = ws.save(named.groupBy("n", "ra", "rb").agg(F.min("place").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), f"first{span}")
     return named.join(first, ["n", "ra", "rb"]).where(F.col("first") < F.col("place")).select("dk", "start", "n")
 
 
@@ -100,7 +101,7 @@ def later_copies(docs: DataFrame, ws: Workspace, min_words: int = MIN_WORDS) ->
     longest = runs.agg(F.max("n").alias("n")).first()["n"] or 0
     found, level, span = None, level1.select("dk", "pos", "rank"), 1
     while span <= longest:
-        own = _later_copies(runs.where((F.col("n") >= span) & (F.col("n") < 2 * span)), level, span)
+        own = _later_copies(runs.where((F.col("n") >= span) & (F.col("n") < 2 * span)), level, span, ws)
         own = ws.save(own, f"copies{span}")
         found = own if found is None else found.unionByName(own)
         if 2 * span > longest:

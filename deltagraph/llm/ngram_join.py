@@ -30,12 +30,15 @@ from deltagraph.llm.components import components, local_forest
 from deltagraph.llm.tokens import SPACED, mix, ngram_hashes, words
 
 #: log2 of the coordinates of a point, sizes from which it has four times as many (and again), counters behind a part's signature, points of a tree node and of a page, growth of size classes.
-BITS, LARGE, COUNTERS, NODE, PAGE, GROWTH = 6, (1000, 5000), 1 << 20, 16, 256, 1.6
+BITS, LARGE, COUNTERS, NODE, PAGE, GROWTH = 6, (1000, 5000), 1 << 20, 16, 256, 1.4
 #: A page pair with more survivors a point than this gives a forest first.
 DENSE = 4
 #: Bits of the filter that picks the texts of sets to verify (fixed size, whatever the input).
 FILTER_WORDS = 1 << 17
 
+#: Words of the filter of shared keys (fixed size).
+KEY_WORDS = 1 << 19
+
 SETS = "n long, f1 long, f2 long, vec binary, fine binary, keys array<long>"
 
 
@@ -215,7 +218,7 @@ def _survivors(num: int, den: int, apart: bool):
 
 def _candidates(members: DataFrame, num: int, den: int, apart: bool, ws: Workspace, name: str) -> DataFrame:
     """a, b, again: survivors of all page pairs of the members (key, f1, n, vec, root) of each key."""
-    hot = members.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > PAGE)
+    hot = ws.save(members.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > PAGE), "hot")
     of = F.coalesce(F.ceil(F.col("c") / PAGE), F.lit(1))
     dealt = members.join(hot, "key", "left").withColumn("page", F.pmod(F.xxhash64("f1"), of))
     pages = dealt.groupBy("key", "page", of.alias("of")).agg(F.collect_list(F.struct("f1", "n", "vec", "root")).alias("points"))
@@ -231,7 +234,7 @@ def _candidates(members: DataFrame, num: int, den: int, apart: bool, ws: Workspa
     return found.unionByName(ws.save(both.mapInArrow(run, schema), f"{name}-many", rows=4))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, k: int, num: int, den: int, ws: Workspace) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, points: DataFrame, docs: DataFrame, text: str, k: int, num: int, den: int, ws: Workspace) -> DataFrame:
     """The pairs (a, b) that link: first by their fine points, then by their sets."""
 
     def close(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,8 +244,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, k:
             keep = [fine_bound(x, y) >= n for x, y, n in zip(*points, need)]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    fine = sets.where("n > 0").groupBy("f1").agg(F.first("fine").alias("fine"), F.first("n").alias("n"))
-    near = pairs.join(fine.select(F.col("f1").alias("a"), F.col("fine").alias("one"), F.col("n").alias("na")), "a").join(fine.select(F.col("f1").alias("b"), F.col("fine").alias("two"), F.col("n").alias("nb")), "b")
+    near = pairs.join(points.select(F.col("f1").alias("a"), F.col("fine").alias("one"), F.col("n").alias("na")), "a").join(points.select(F.col("f1").alias("b"), F.col("fine").alias("two"), F.col("n").alias("nb")), "b")
     pairs = ws.save(near.select("a", "b", "one", "two", "na", "nb").mapInArrow(close, "a long, b long"), "close")
     wanted = pairs.select(F.col("a").alias("f1")).unionByName(pairs.select(F.col("b").alias("f1"))).distinct()
     chosen = sets.select("f1", "doc_key").join(wanted, "f1").groupBy("f1").agg(F.min("doc_key").alias("doc_key"))
@@ -327,27 +329,28 @@ def similar_groups(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", tex
     full = sets.where("n > 0")
     keyed = full.select("f1", F.explode("keys").alias("key"))
     shared = ws.save(keyed.groupBy("key").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("key"), "shared")
-    one_each = ws.save(join_few(keyed, shared, "key", "left_semi").select("key", "f1").distinct(), "members")
-    points = full.groupBy("f1").agg(F.first("n").alias("n"), F.first("vec").alias("vec"))
+    one_each = ws.save(join_few(keyed, shared, "key", "left_semi", KEY_WORDS).select("key", "f1").distinct(), "members")
+    points = ws.save(full.groupBy("f1").agg(F.first("n").alias("n"), F.first("vec").alias("vec"), F.first("fine").alias("fine")), "points")
     sizes = ws.save(one_each.groupBy("key").agg(F.count("*").alias("c"), F.min("f1").alias("a"), F.max("f1").alias("b")), "sizes")
     # two sets need no tree: their fine points are compared at once
     two = sizes.where("c = 2").select("a", "b").distinct()
     crowded = one_each.join(sizes.where("c > 2").select("key"), "key", "left_semi")
-    members = crowded.join(points, "f1").select("key", "f1", "n", "vec", F.col("f1").alias("root"))
+    members = crowded.join(points.drop("fine"), "f1").select("key", "f1", "n", "vec", F.col("f1").alias("root"))
     found = _candidates(members, num, den, False, ws, "pages")
-    links = _verified(ws.save(found.where("a is not null").select("a", "b").unionByName(two).distinct(), "pairs"), sets, docs, text, k, num, den, ws)
+    links = _verified(ws.save(found.where("a is not null").select("a", "b").unionByName(two).distinct(), "pairs"), sets, points, docs, text, k, num, den, ws)
     roots = components(links, ws)
     again = found.where("again is not null").select(F.col("again").alias("key")).distinct()
     if not again.isEmpty():
         # dense keys: what their forests have joined needs no more looking at
         part = ws.save(one_each.join(again, "key", "left_semi"), "dense")
-        part = part.join(points, "f1").join(roots.select(F.col("node").alias("f1"), "root"), "f1", "left").select("key", "f1", "n", "vec", F.coalesce("root", "f1").alias("root"))
+        part = part.join(points.drop("fine"), "f1").join(roots.select(F.col("node").alias("f1"), "root"), "f1", "left").select("key", "f1", "n", "vec", F.coalesce("root", "f1").alias("root"))
         rest = _candidates(part, num, den, True, ws, "dense-pages").select("a", "b").distinct()
-        more = _verified(ws.save(rest, "pairs"), sets, docs, text, k, num, den, ws)
+        more = _verified(ws.save(rest, "pairs"), sets, points, docs, text, k, num, den, ws)
         roots = components(links.unionByName(more), ws)
     ids = full.groupBy("f1").agg(F.min("_id").alias("first")).join(roots.select(F.col("node").alias("f1"), "root"), "f1", "left").withColumn("root", F.coalesce("root", "f1"))
     ids = ws.save(ids, "ids")
-    named = ids.join(ids.groupBy("root").agg(F.min("first").alias("component")), "root").select("f1", "component")
+    least = ws.save(ids.groupBy("root").agg(F.min("first").alias("component")), "least")
+    named = ids.join(least, "root").select("f1", "component")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_id"))
     return sets.select(*own, "n", "f1").join(named, "f1", "left").select(*keep, F.col("n").alias("n_shingles"), component.alias("component_id"))
 

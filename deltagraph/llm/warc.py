@@ -106,6 +106,7 @@ def write_warc(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", body.alias("payload")).withColumn("n", F.octet_length("payload")).withColumn("digest", F.sha1("payload"))
     same = rows.where(F.col("n") >= REVISIT_BYTES).groupBy("digest", "n").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    same = Workspace(pages.sparkSession, "digests").save(same, "same")  # stored, so that the join can split a hot payload
     # a payload's own row needs no partner, so only digests that repeat take part in this join
     named = rows.join(same, ["digest", "n"], "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
     kept = named.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
@@ -223,6 +224,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = ws.save(read_warc(spark, path), "records", rows=64)
     own = back.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
     payload = back.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_id")).agg(F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
+    payload = ws.save(payload, "payload")
     revisits = back.where("record_type = 'revisit'").select("page_id", "refers_id", "record_type", "refers_to").join(payload, "refers_id", "left")
     return own.unionByName(revisits.drop("refers_id"))
 
