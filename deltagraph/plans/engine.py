@@ -63,11 +63,13 @@ class Adjacency:
         data = data or []
         weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
         entry = lambda dst, w, own: F.struct(dst.alias("dst"), w.alias("weight"), F.lit(own).alias("own"))
-        degree = edges.groupBy("src").agg(F.count("*").alias("degree"), F.ceil(F.count("*") / chunk).alias("chunks"))
-        out = edges.select("src", F.col("dst"), weight.alias("weight")).join(degree, "src")
-        part = F.when(F.col("chunks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("dst"), "chunks"))
-        packed = out.groupBy(F.col("src").alias("id"), part.alias("part"), "degree").agg(F.collect_list(entry(F.col("dst"), F.col("weight"), False)).alias("entries"))
-        packed = packed.select("id", "entries", "degree")
+        degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
+        # only hubs are cut into parts, so this join's right side is small and each edge is shuffled once, to be packed
+        hubs = degree.where(F.col("degree") > chunk).select("src", F.ceil(F.col("degree") / chunk).alias("chunks"))
+        out = edges.select("src", "dst", weight.alias("weight")).join(hubs, "src", "left")
+        part = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("chunks")), F.lit(0))
+        packed = out.groupBy("src", part.alias("part")).agg(F.collect_list(entry(F.col("dst"), F.col("weight"), False)).alias("entries"))
+        packed = packed.join(degree, "src").select(F.col("src").alias("id"), "entries", "degree")
         if data:
             packed = packed.join(vertices.select("id", *data), "id")
         own = vertices.select("id", F.array(entry(F.col("id"), F.lit(1.0), True)).alias("entries"), F.lit(0).cast("long").alias("degree"), *data)
