@@ -88,11 +88,8 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
 FILTER_WORDS = 1 << 17
 
 
-def join_few(df: DataFrame, right: DataFrame, key: str, how: str = "left", words: int = FILTER_WORDS) -> DataFrame:
-    """``df`` joined ("left", "left_semi" or "left_anti") on the long column ``key`` with a table that concerns few of its rows.
-
-    A bit filter of fixed size over the keys of ``right`` is broadcast; rows that it rules out are passed on as they are, so only the others are
-    shuffled.  ``df`` is read twice and should be a plain scan.  If the filter fills up, more rows are shuffled and the result is the same."""
+def split_few(df: DataFrame, right: DataFrame, key: str, words: int = FILTER_WORDS) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` that a bit filter of fixed size over the long column ``key`` of ``right`` lets through (all with such a key and a few others), and the rest."""
     hashed = lambda: F.xxhash64(key)
     word = F.pmod(hashed(), F.lit(words)).alias("_word")
     one = lambda shift: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftrightunsigned(hashed(), shift), F.lit(64)).cast("int"))
@@ -101,10 +98,18 @@ def join_few(df: DataFrame, right: DataFrame, key: str, how: str = "left", words
     names = df.columns
     marked = df.withColumn("_word", F.pmod(hashed(), F.lit(words))).join(F.broadcast(bits), "_word", "left")
     hit = F.coalesce(F.col("_bits").bitwiseAND(mask) == mask, F.lit(False))
-    some = marked.where(hit).select(*names).join(right.hint("merge"), key, how)
+    return marked.where(hit).select(*names), marked.where(~hit).select(*names)
+
+
+def join_few(df: DataFrame, right: DataFrame, key: str, how: str = "left", words: int = FILTER_WORDS) -> DataFrame:
+    """``df`` joined ("left", "left_semi" or "left_anti") on the long column ``key`` with a table that concerns few of its rows.
+
+    A bit filter of fixed size over the keys of ``right`` is broadcast; rows that it rules out are passed on as they are, so only the others are
+    shuffled.  ``df`` is read twice and should be a plain scan.  If the filter fills up, more rows are shuffled and the result is the same."""
+    some, rest = split_few(df, right, key, words)
+    some = some.join(right.hint("merge"), key, how)
     if how == "left_semi":
         return some
-    rest = marked.where(~hit).select(*names)
     if how == "left":
         extra = [f for f in right.schema if f.name != key]
         rest = rest.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra])

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltagraph.llm.common import Workspace, documents, join_few
+from deltagraph.llm.common import Workspace, documents, join_few, split_few
 from deltagraph.llm.tokens import SPACED, words
 
 #: A run of lines counts as a repeated passage if it has at least so many words.
@@ -90,9 +90,19 @@ def _later_copies(runs: DataFrame, level: DataFrame, span: int, ws: Workspace) -
     return named.join(first, ["n", "ra", "rb"]).where(F.col("first") < F.col("place")).select("dk", "start", "n")
 
 
+def _one_of_each(docs: DataFrame, ws: Workspace) -> DataFrame:
+    """One row for each dk; only rows whose dk may repeat are shuffled, reduced map-side."""
+    repeated = ws.save(docs.groupBy("dk").agg(F.count("*").alias("c")).where("c > 1").select("dk"), "repeated")
+    if repeated.isEmpty():
+        return docs
+    some, rest = split_few(docs, repeated, "dk")
+    return rest.unionByName(some.dropDuplicates(["dk"]))
+
+
 def later_copies(docs: DataFrame, ws: Workspace, min_words: int = MIN_WORDS) -> DataFrame:
-    """dk, start, n: line runs to delete, for docs with dk, id, text."""
-    places = ws.save(docs.select("dk", "id", "text").mapInArrow(_places(min_words), PLACES), "places", rows=500)
+    """dk, start, n: line runs to delete, for docs with dk, id, text.  Rows with one dk are one document, so that no place stands twice in the joins."""
+    docs = _one_of_each(docs.select("dk", "id", "text"), ws)
+    places = ws.save(docs.mapInArrow(_places(min_words), PLACES), "places", rows=500)
     named = _ranked(places, ws, "rank1")
     level1 = ws.save(places.join(named, ["r1", "r2"]).select("dk", "id", "pos", "rank", "ahead", "back"), "level1")
     ws.drop(places, named)

@@ -82,6 +82,21 @@ def test_line_dedup_of_awkward_rows(spark, awkward, empty):
     assert sum(r["doc_id"] == 4 for r in rows) == 2 and line_dedup.delete_repeats(empty).count() == 0
 
 
+def test_repeated_rows_of_many_lines_stand_once(spark):
+    lines = "\n".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(i, i, lines) for i in (1, 2) for _ in range(3)], "dk long, id long, text string")
+    found = line_dedup.later_copies(docs, Workspace(spark, "t"), 4).collect()
+    # a run can be found both from its first and from its last line
+    assert {(r["dk"], r["n"]) for r in found} == {(2, 4)} and len(found) <= 2 * len(set(found))
+    text = "\n".join(f"w{k} v{k}" for k in range(60))
+    other = "\n".join(f"u{k}" for k in range(70))
+    rows = [(1, text)] * 10 + [(2, other)] + [(3, text)] * 2 + [(4, other + "\nend")] + [(None, text)] * 4 + [(None, "end")] * 2
+    got = line_dedup.delete_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    one = [(1, text), (2, other), (3, text), (4, other + "\nend"), (None, text), (None, "end")]
+    want = dict(zip(one, brute_minimal(dict(enumerate(t for _, t in one)), range(len(one)))))
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got) == collections.Counter((i, want[i, t]) for i, t in rows)
+
+
 # --- n-gram join
 
 
