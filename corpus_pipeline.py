@@ -2,11 +2,12 @@
 
 1. quality: documents that the rule ensemble rejects go.
 2. line_dedup: later copies of repeated line runs are deleted from the texts; documents of which nothing stays go.
-3. near_duplicates: of documents that hang together by 5-word shingles at a similarity of 0.8 or more, the one with the smallest doc_id stays.
+3. near_duplicates: of documents that hang together by 5-word shingles at a similarity of 0.8 or more, the one with the smallest doc_id stays (null last).
 4. decontamination: documents with a benchmark passage go.
 5. mixing: words taken of each document for the target weights of the sources (the last stage: doc_id, source, size, source_size, target, taken).
 
-Rows with one doc_id are one document.  A null doc_id is never removed by another document's fate.
+Every row is judged by its own text, whether its doc_id is null or shared with other rows.  Verdicts come back by a 64-bit hash of id and text, so that texts needn't
+travel.  Of rows that repeat with the same id and text, or with null ids and the same text, one stays (in near_duplicates); texts without words are no copies.
 """
 
 from __future__ import annotations
@@ -15,22 +16,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltagraph.llm import decontamination, line_dedup, mixing, ngram_join, quality
-from deltagraph.llm.common import Workspace, documents, join_few, table
+from deltagraph.llm.common import Workspace, documents, join_few, split_few, table
 
 #: The later stages' texts: shingles of so many words, similarity in hundredths.
 SHINGLE, SIMILAR = 5, 80
+KEY = "_row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a hash of id and text; rows with one hash have the same verdict."""
+    return docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose ids are not in ``gone``."""
+    """The rows of ``docs`` whose keys are not in ``gone``."""
     ws = Workspace(docs.sparkSession, "gone")
-    return join_few(docs, ws.save(gone.select("doc_id").where("doc_id is not null").distinct(), "ids"), "doc_id", "left_anti")
+    return join_few(_keyed(docs), ws.save(gone.select(KEY).distinct(), "keys"), KEY, "left_anti").select(*docs.columns)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    text = docs.select("doc_id", "text")
+    text = _keyed(docs.select("doc_id", "text"))
     model = quality.train(text, quality.learnt_from(table(spark, sf_dir, "labels")))
-    return _without(docs, quality.score(text, ["doc_id"], model).where("predicted = 0"))
+    return _without(docs, quality.score(text, [KEY], model).where("predicted = 0"))
 
 
 def delete_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +48,25 @@ def delete_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = ngram_join.similar_groups(docs.select("doc_id", "text"), ["doc_id"], k=SHINGLE, num=SIMILAR)
-    return _without(docs, groups.where("doc_id <> component_id"))
+    ws = Workspace(spark, "groups")
+    groups = ngram_join.similar_groups(_keyed(docs.select("doc_id", "text")), ["doc_id", KEY], doc_id=KEY, k=SHINGLE, num=SIMILAR)
+    groups = ws.save(groups.where("n_shingles > 0").select("doc_id", KEY, "component_id"), "groups")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY)
+    first = groups.groupBy("component_id").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1")
+    left = _without(docs, groups.join(first, "component_id").where(F.col(KEY) != F.col("first")[KEY]))
+    # what is left of a group is one document; if its row repeats, the smallest of them stays
+    repeated = ws.save(groups.groupBy(KEY).agg(F.count("*").alias("c")).where("c > 1").select(KEY), "repeated")
+    if repeated.isEmpty():
+        return left
+    left = ws.save(left, "left")
+    some, rest = split_few(_keyed(left), repeated, KEY)
+    several = some.join(repeated.hint("merge"), KEY, "left_semi").groupBy(KEY).agg(F.min(F.struct(*left.columns)).alias("_row"))
+    alone = some.join(repeated.hint("merge"), KEY, "left_anti")
+    return rest.select(*left.columns).unionByName(alone.select(*left.columns)).unionByName(several.select("_row.*"))
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontamination.decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    found = decontamination.decontaminate(_keyed(docs.select("doc_id", "text")), table(spark, sf_dir, "benchmark"), [KEY])
     return _without(docs, found.where("n_hit > 0"))
 
 

@@ -290,6 +290,30 @@ def test_pipeline_stage_by_stage(spark):
         assert stage(spark, empty, ROOT_TABLES).count() == 0
 
 
+@needs_tables
+def test_pipeline_judges_rows_with_null_or_shared_ids(spark):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    rows = lambda df: collections.Counter((r["doc_id"], r["text"]) for r in df.collect())
+    docs = spark.read.parquet(f"{ROOT_TABLES}/documents.parquet").select("doc_id", "text")
+    kept, every = rows(stages["quality"](spark, docs, ROOT_TABLES)), rows(docs)
+    bad = next(t for (i, t), n in (every - kept).items() if t)
+    labelled = {r["doc_id"] for r in spark.read.parquet(f"{ROOT_TABLES}/labels.parquet").collect()}
+    shared = next(i for i, _ in kept if i not in labelled)
+    more = spark.createDataFrame([(None, bad), (shared, bad)], docs.schema)
+    assert rows(stages["quality"](spark, docs.unionByName(more), ROOT_TABLES)) == kept
+
+    item = next(r["text"] for r in spark.read.parquet(f"{ROOT_TABLES}/benchmark.parquet").collect() if len(plain_words(r["text"], "alnum")) >= 10)
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(20)) for x in "abcde")
+    mixed = spark.createDataFrame([(None, item), (1, a), (1, item), (None, b), (2, None)], docs.schema)
+    assert rows(stages["decontamination"](spark, mixed, ROOT_TABLES)) == {(1, a): 1, (None, b): 1, (2, None): 1}
+
+    copies = [(None, a), (None, a), (3, b), (None, b), (7, c), (7, d), (2, c), (9, e), (9, e), (None, None), (None, None), (4, ""), (4, "")]
+    left = stages["near_duplicates"](spark, spark.createDataFrame(copies, docs.schema), ROOT_TABLES)
+    assert rows(left) == {(None, a): 1, (3, b): 1, (2, c): 1, (7, d): 1, (9, e): 1, (None, None): 2, (4, ""): 2}
+
+
 def brute_minimal(texts, ids):
     """Like brute_lines for runs of 50 words, over the shortest sufficient runs only."""
     runs, gone = {}, collections.defaultdict(set)
