@@ -23,8 +23,6 @@ from deltagraph.llm.tokens import PIECE, text_buffer
 ORDER = 3
 #: Training rows of a language, as expected number; rows are chosen by a hash of their id.
 SAMPLE = 1500
-#: Distinct bytes that contexts tell apart; the rarest others share one symbol.
-SYMBOLS = 120
 UNKNOWN = "und"
 
 
@@ -54,13 +52,12 @@ def count_grams(rows: DataFrame) -> DataFrame:
 class ContextTrees:
     """Frozen statistics of several languages as one cost table."""
 
-    def __init__(self, grams: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER, symbols: int = SYMBOLS):
+    def __init__(self, grams: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER):
         self.langs = sorted(grams)
         freq = sum(np.bincount((g & 255).astype(int), n, 256) for g, n in grams.values())
-        seen = np.argsort(-freq, kind="stable")[:symbols]
-        seen = np.sort(seen[(freq[seen] > 0) & (seen != 0)])
-        #: symbol 0: before the text; 1: any other byte
-        self.symbol = np.ones(256, np.uint8)
+        seen = np.flatnonzero(freq[1:] > 0) + 1
+        #: every byte of the training texts has a symbol; 0: before the text; 1: a byte that no language has
+        self.symbol = np.ones(256, np.uint16)
         self.symbol[0] = 0
         self.symbol[seen] = np.arange(2, len(seen) + 2)
         self.size = size = len(seen) + 2

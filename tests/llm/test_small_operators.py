@@ -175,6 +175,23 @@ def test_costs_are_exact_code_lengths():
     assert trees.cost[row, trees.symbol[ord("a")], 0] == pytest.approx(-np.log2(2 / 3))
 
 
+def test_small_languages_keep_their_bytes():
+    # many scripts, the first language far larger than the others
+    starts = {"en": 0x21, "ru": 0x430, "el": 0x3B1, "he": 0x5D0, "ar": 0x627, "th": 0xE01, "hi": 0x905, "zh": 0x4E00, "ko": 0xAC00}
+    texts = {k: "".join(chr(s + 7 * i % {"en": 90, "zh": 2000, "ko": 2000}.get(k, 24)) for i in range(300)).encode() for k, s in starts.items()}
+    grams = {}
+    for k, t in texts.items():
+        padded = np.frombuffer(b"\0\0\0" + t, np.uint8).astype(np.int64)
+        g, n = np.unique((padded[:-3] << 24) | (padded[1:-2] << 16) | (padded[2:-1] << 8) | padded[3:], return_counts=True)
+        grams[k] = (g, n * (1000 if k == "en" else 1))
+    trees = language_id.ContextTrees(grams)
+    used = sorted(set(b"".join(texts.values())))
+    assert len(used) > 120 and len(set(trees.symbol[used].tolist())) == len(used) and 1 not in trees.symbol[used]
+    data = b"".join(texts.values())
+    bits = trees.lengths(np.frombuffer(data, np.uint8), np.cumsum([0, *[len(t) for t in texts.values()]]))
+    assert [trees.langs[i] for i in bits.argmin(1)] == list(texts)
+
+
 def test_languages_of_awkward_texts(spark, awkward, empty):
     train = spark.createDataFrame([(i, "en", "the quick brown fox") for i in range(9)] + [(20 + i, "de", "der schnelle braune fuchs") for i in range(9)], "doc_id long, lang string, text string")
     trees = language_id.train(train)
