@@ -381,6 +381,11 @@ def _state(spark: SparkSession, sf: str) -> DataFrame:
 _STATE = _STATE.replace("id * 0.5 AS v", "CAST(id AS DOUBLE) * 0.5 AS v")
 
 
+def _every(spark: SparkSession, state: DataFrame, start: int, step: int) -> DataFrame:
+    """Keys start, start + step, ... up to the largest id of ``state``."""
+    return spark.range(start, (state.agg(F.max("id")).first()[0] or 0) + 1, step)
+
+
 @query("table_get", _STATE + "SELECT id, v, delta FROM t WHERE id IN (1, 5, 9, 14)")
 def _(spark, sf):
     return table_ops.get(_state(spark, sf), [1, 5, 9, 14])
@@ -388,7 +393,8 @@ def _(spark, sf):
 
 @query("table_contains", _STATE + "SELECT id FROM t WHERE id % 10 = 3")
 def _(spark, sf):
-    return table_ops.contains(_state(spark, sf), spark.range(3, 1_000_000, 10))
+    state = _state(spark, sf)
+    return table_ops.contains(state, _every(spark, state, 3, 10))
 
 
 @query("table_update", _STATE + "SELECT id, v, CASE WHEN id % 2 = 0 THEN CAST(0 AS DOUBLE) ELSE delta END AS delta FROM t")
@@ -408,7 +414,8 @@ def _(spark, sf):
 
 @query("table_remove", _STATE + "SELECT id, v, delta FROM t WHERE id % 4 <> 0")
 def _(spark, sf):
-    return table_ops.remove(_state(spark, sf), spark.range(0, 1_000_000, 4))
+    state = _state(spark, sf)
+    return table_ops.remove(state, _every(spark, state, 0, 4))
 
 
 @query("table_clear", _STATE + "SELECT id, v, delta FROM t LIMIT 0")
