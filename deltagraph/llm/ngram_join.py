@@ -1,19 +1,26 @@
 """Exact Jaccard self-join of word n-gram sets, with count vectors in R-trees.
 
-A set's shingles are hashed into groups; the group counts are a point.  The overlap of two sets is at most the sum of the
-coordinate minima of their points, and of two tree nodes at most that of their upper corners, so node pairs and then point pairs that can't
-reach the needed overlap fall away.  What survives meets finer points, with about four shingles a group, and is then verified on the
-sets themselves.
+A set's shingles are hashed into groups; the group counts are a point.  Points are packed into R-trees (sort-tile-recursive, boxes with lower and upper
+corners and the sizes below them), and two trees are joined from their roots down.  The overlap of two sets is at most the sum of the coordinate minima of their points,
+and below two boxes at most that of the upper corners; the gaps between two boxes bound the symmetric difference from below.  What no bound
+rules out is compared by finer points, with one to four shingles a group, and then verified on the sets themselves.
 
-The forest's directory makes this distributed without loss.  Sets that link differ in at most r shingles, so if the groups are dealt
+The directory over the trees makes this distributed without loss.  Sets that link differ in at most r shingles, so if the groups are dealt
 into r + 1 + 2e parts, at least 1 + 2e parts have equal counts; each set leaves out its e thinnest parts, and one common part remains.  The
-signature of a part's counts is the key of a tree, and only sets under one key are compared.  r follows the set size, hence
+signature of a part's counts is the key of a tree, and only sets under one key are compared; keys with the same sets are one tree.  r follows the set size, hence
 size classes; a set also enters the next class where a larger partner may be.
 
-Equal sets are one class before all this.  A key of any size is cut into pages of bounded size whose pairs are keys of their own.  A page pair with very many
-survivors first gives a spanning forest of them; once that is verified, only pairs between different components are left to look at.
+Equal sets are one class before all this.  A tree has pages of bounded size, which are joined pair by pair.  What a page pair gives is linear in its points, whatever
+the size of a group of copies:
 
-Shingles, classes and signatures are 64-bit hashes: signatures that collide cost time only; sets are compared by their hashes.
+1. Within pages: few survivors are given as they are; of many, a spanning forest with the best bounds first.  They are verified and linked.
+2. Between and within pages of the trees that aren't settled: only pairs of sets that aren't linked yet, again as they are or as a forest over what
+   is linked.  This is done ``ROUNDS`` times.
+3. Trees that still have more pairs than that (sets just below the limit, many times over) are verified in place: the pages carry the sets
+   themselves, and give the links of a spanning forest.
+
+Classes and signatures are 64-bit and 128-bit hashes of sets: signatures that collide cost time only; sets are told apart by 128 bits and
+compared by the 64-bit hashes of their shingles.
 """
 
 from __future__ import annotations
@@ -26,18 +33,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltagraph.llm.common import Workspace, carrying, documents, join_few
-from deltagraph.llm.components import components, local_forest
+from deltagraph.llm.components import components
 from deltagraph.llm.tokens import SPACED, mix, ngram_hashes, words
 
-#: log2 of the coordinates of a point, sizes from which it has four times as many (and again), counters behind a part's signature, points of a tree node and of a page, growth of size classes.
-BITS, LARGE, COUNTERS, NODE, PAGE, GROWTH = 6, (1000, 5000), 1 << 20, 16, 256, 1.4
-#: A page pair with more survivors a point than this gives a forest first.
-DENSE = 4
-#: Bits of the filter that picks the texts of sets to verify (fixed size, whatever the input).
-FILTER_WORDS = 1 << 17
-
-#: Words of the filter of shared keys (fixed size).
-KEY_WORDS = 1 << 19
+#: log2 of the fewest and most coordinates of a tree's point (even numbers), shingles of a coordinate between them.
+BITS, MOST_BITS, CROWD = 6, 12, 8
+#: Counters behind a part's signature, points of a tree node and of a page, growth of size classes.
+COUNTERS, NODE, PAGE, GROWTH = 1 << 20, 16, 256, 1.4
+#: A page pair with more survivors a point than this gives a forest; rounds of forests; shingles of a page that carries sets.
+DENSE, ROUNDS, BODY = 2, 2, 1 << 18
+#: Words of the filters that pick the texts of sets to verify, and shared keys (fixed sizes, whatever the input).
+FILTER_WORDS, KEY_WORDS = 1 << 17, 1 << 19
+#: Elements compared at once.
+CELLS = 1 << 20
 
 SETS = "n long, f1 long, f2 long, vec binary, fine binary, keys array<long>"
 
@@ -96,13 +104,6 @@ def _fingerprints(s: np.ndarray) -> tuple[int, int]:
     return int(f[0]), int(f[1])
 
 
-def _members(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """offsets, f1, n, root, points of a column of member lists."""
-    flat = col.values
-    f1, n, root = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("f1", "n", "root"))
-    return col.offsets.to_numpy(zero_copy_only=False), f1, n, root, flat.field("vec").to_pylist()
-
-
 def _matrix(points: list[bytes], groups: int) -> np.ndarray:
     """Points as rows, folded to ``groups`` groups."""
     return np.stack([unpack(p).reshape(groups, -1).sum(1, dtype=np.int32) for p in points])
@@ -122,8 +123,9 @@ def groups_of(b: bytes) -> int:
 
 
 def tree_point(s: np.ndarray) -> np.ndarray:
-    """The point that the trees hold: more groups for larger sets."""
-    return point(s, BITS + 2 * sum(len(s) >= n for n in LARGE))
+    """The point that the trees hold: about CROWD shingles a group, within limits."""
+    bits = int(np.ceil(np.log2(max(1, len(s)) / CROWD)))
+    return point(s, min(MOST_BITS, max(BITS, bits + bits % 2)))
 
 
 def fine_point(s: np.ndarray) -> np.ndarray:
@@ -149,151 +151,280 @@ def needed(na, nb, num: int, den: int):
     return -(-num * (na + nb) // (num + den))
 
 
+def overlap(s: np.ndarray, t: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    s, t = (s, t) if len(s) <= len(t) else (t, s)
+    return int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum()) if len(t) else 0
+
+
+class RTree:
+    """Points packed by sort-tile-recursive.  Level 0 has the points; each further level the boxes of NODE nodes of the one below."""
+
+    def __init__(self, p: np.ndarray, n: np.ndarray):
+        self.order = np.argsort(n, kind="stable")
+        tiles = -(-len(p) // NODE)
+        if tiles > 2:  # slabs by size, each tiled along the coordinates that spread most
+            slab = np.arange(len(p)) // (NODE * int(np.ceil(np.sqrt(tiles))))
+            widest = np.argsort(-p.var(0), kind="stable")[:6][::-1]
+            self.order = self.order[np.lexsort((*p[self.order][:, widest].T, slab))]
+        p, n = p[self.order], n[self.order]
+        #: (lower corners, upper corners, smallest size, largest size) of each node
+        self.levels = [(p, p, n, n)]
+        while len(self.levels[-1][0]) > NODE:
+            self.grow()
+
+    def grow(self) -> None:
+        lo, hi, least, most = self.levels[-1]
+        start = np.arange(0, len(lo), NODE)
+        self.levels.append((np.minimum.reduceat(lo, start), np.maximum.reduceat(hi, start), np.minimum.reduceat(least, start), np.maximum.reduceat(most, start)))
+
+    def join(self, other: RTree, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (i, j, bound) of points that may link, each pair once if ``other`` is this tree."""
+        while len(other.levels) < len(self.levels):
+            other.grow()
+        while len(self.levels) < len(other.levels):
+            self.grow()
+        top, same = len(self.levels) - 1, other is self
+        i, j = (x.ravel() for x in np.meshgrid(np.arange(len(self.levels[top][0])), np.arange(len(other.levels[top][0])), indexing="ij"))
+        bound = np.zeros(0, np.int64)
+        for k in range(top, -1, -1):
+            if same:
+                first = i <= j if k else i < j
+                i, j = i[first], j[first]
+            keep, bound = self._meet(self.levels[k], other.levels[k], i, j, num, den)
+            i, j, bound = i[keep], j[keep], bound[keep]
+            if k:
+                step = np.arange(NODE)
+                i = np.broadcast_to(i[:, None, None] * NODE + step[:, None], (len(i), NODE, NODE)).ravel()
+                j = np.broadcast_to(j[:, None, None] * NODE + step[None, :], (len(j), NODE, NODE)).ravel()
+                inside = (i < len(self.levels[k - 1][0])) & (j < len(other.levels[k - 1][0]))
+                i, j = i[inside], j[inside]
+        return self.order[i], other.order[j], bound
+
+    @staticmethod
+    def _meet(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which node pairs (i, j) may have linked sets below, and the bound of their overlap."""
+        (alo, ahi, aleast, amost), (blo, bhi, bleast, bmost) = a, b
+        keep = (amost[i] * den >= bleast[j] * num) & (bmost[j] * den >= aleast[i] * num)
+        bound = np.zeros(len(i), np.int64)
+        at = np.flatnonzero(keep)
+        step = max(1, CELLS // max(1, alo.shape[1]))
+        for lo in range(0, len(at), step):
+            c = at[lo : lo + step]
+            x, y = i[c], j[c]
+            bound[c] = np.minimum(ahi[x], bhi[y]).sum(1)
+            fits = bound[c] >= needed(aleast[x], bleast[y], num, den)
+            if alo is not ahi:
+                gap = np.maximum(np.maximum(alo[x] - bhi[y], blo[y] - ahi[x]), 0).sum(1)
+                fits &= gap * (num + den) <= (amost[x] + bmost[y]) * (den - num)
+            keep[c] = fits
+        return keep, bound
+
+
 def tree_pairs(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i, j, bound) of points whose summed coordinate minima reach the needed overlap."""
+    """Pairs (i, j, bound) of points of two tables that may link."""
+    return RTree(a, na).join(RTree(b, nb), num, den)
+
+
+def _forest(a: np.ndarray, b: np.ndarray, best: np.ndarray, links=None) -> list[int]:
+    """Places, in the order ``best``, of the pairs of a spanning forest of the nodes a, b; with ``links`` only of pairs (places) for which it holds."""
+    _, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = code[: len(a)].tolist(), code[len(a) :].tolist()
+    parent = list(range(int(code.max()) + 1 if len(code) else 0))
 
-    def leaves(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        order = np.lexsort((p[:, 0], n))
-        if len(p) > NODE * 4:  # sort-tile: slabs by size, then by a coordinate sum within each
-            slab = np.arange(len(p)) // (NODE * 4)
-            order = order[np.lexsort((p[order, : p.shape[1] // 2].sum(1), slab))]
-        start = np.arange(0, len(p), NODE)
-        return order, start, np.maximum.reduceat(p[order], start), np.minimum.reduceat(n[order], start)
+    def find(v: int) -> int:
+        while parent[v] != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
 
-    (oa, sa, ha, la), (ob, sb, hb, lb) = leaves(a, na), leaves(b, nb)
     out = []
-    for i in range(len(sa)):
-        reach = np.minimum(ha[i], hb).sum(1) >= needed(la[i], lb, num, den)
-        x = oa[sa[i] : sa[i] + NODE]
-        for j in np.flatnonzero(reach):
-            y = ob[sb[j] : sb[j] + NODE]
-            bound = np.minimum(a[x][:, None, :], b[y][None, :, :]).sum(2)
-            p, q = np.nonzero(bound >= needed(na[x][:, None], nb[y][None, :], num, den))
-            out.append((x[p], y[q], bound[p, q]))
-    if not out:
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    return tuple(np.concatenate(c) for c in zip(*out))
-
-
-def _survivors(num: int, den: int, apart: bool):
-    """Pairs (a, b) of a page pair that may link; ``again`` names keys of which only a forest was given.  With ``apart`` only pairs of different roots."""
+    for k in best.tolist():
+        p, q = find(x[k]), find(y[k])
+        if p != q and (links is None or links(k)):
+            parent[p] = q
+            out.append(k)
+    return out
+
+
+def _points(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], list]]:
+    """node, n, root, points, sets (if there) of each row of a column of member lists."""
+    flat, off = col.values, col.offsets.to_numpy(zero_copy_only=False)
+    node, n, root = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("node", "n", "root"))
+    has = flat.type.get_field_index("body") >= 0
+    for lo, hi in zip(off[:-1], off[1:]):
+        part = flat.slice(lo, hi - lo)
+        yield node[lo:hi], n[lo:hi], root[lo:hi], part.field("vec").to_pylist(), part.field("body") if has else None
+
+
+def _survivors(num: int, den: int):
+    """Pairs (a, b) of sets in different roots that may link, from pages (key, of, one, two; two is null where a page meets itself).
+
+    Few are given as they are; of many a spanning forest of the roots, and ``again`` names the key.  With sets in the pages, the pairs are a forest of links."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            aa, bb, again, keys = [], [], [], batch.column("key").to_pylist()
-            one, two = _members(batch.column("one")), _members(batch.column("two"))
-            for row, key in enumerate(keys):
-                (fm, nm, rm, pm), (fq, nq, rq, pq) = ([x[p[0][row] : p[0][row + 1]] for x in p[1:]] for p in (one, two))
-                groups = min(map(groups_of, pm + pq))
-                vm, vq = _matrix(pm, groups), _matrix(pq, groups)
-                i, j, bound = tree_pairs(vm, nm, vq, nq, num, den)
-                ok = fm[i] < fq[j]
-                if batch.column("same")[row].as_py() is False:
-                    ok = fm[i] != fq[j]
-                if apart:
-                    ok &= rm[i] != rq[j]
-                i, j, bound = i[ok], j[ok], bound[ok]
-                if not apart and len(i) > DENSE * (len(fm) + len(fq)):
-                    ids, code = np.unique(np.concatenate([fm[i], fq[j]]), return_inverse=True)
+            aa, bb, again = [], [], set()
+            two, alone = _points(batch.column("two")), batch.column("two").is_null().to_pylist()
+            for key, of, own, one, other in zip(batch.column("key").to_pylist(), batch.column("of").to_pylist(), alone, _points(batch.column("one")), two):
+                (fm, nm, rm, pm, sm), (fq, nq, rq, pq, sq) = one, one if own else other
+                groups = min(map(groups_of, pm if own else pm + pq))
+                tree = RTree(_matrix(pm, groups), nm)
+                i, j, bound = tree.join(tree if own else RTree(_matrix(pq, groups), nq), num, den)
+                apart = rm[i] != rq[j]
+                i, j, bound = i[apart], j[apart], bound[apart]
+                if not len(i):
+                    continue
+                most = DENSE * (len(fm) + (0 if own else len(fq))) // of
+                if sm is not None or len(i) > most:
                     best = np.argsort(-bound / (nm[i] + nq[j]), kind="stable")
-                    x, y = code[: len(i)][best], code[len(i) :][best]
-                    forest = local_forest(len(ids), x.tolist(), y.tolist())
-                    aa.append(ids[[p for p, _ in forest]])
-                    bb.append(ids[[p for _, p in forest]])
-                    again.append(key)
-                elif len(i):
-                    aa.append(fm[i])
-                    bb.append(fq[j])
+                    links = None
+                    if sm is not None:
+                        body = lambda s, k: np.frombuffer(s[int(k)].as_py(), np.uint64)
+                        links = lambda k, i=i, j=j, nm=nm, nq=nq, sm=sm, sq=sq: overlap(body(sm, i[k]), body(sq, j[k])) >= needed(nm[i[k]], nq[j[k]], num, den)
+                    else:
+                        again.add(key)
+                    some = _forest(rm[i], rq[j], best, links)
+                    i, j = i[some], j[some]
+                aa.append(fm[i])
+                bb.append(fq[j])
             a = np.concatenate(aa) if aa else np.zeros(0, np.int64)
             b = np.concatenate(bb) if bb else np.zeros(0, np.int64)
             a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             n = len(again)
             yield pa.record_batch([
                 pa.array([*a.tolist(), *[None] * n], pa.int64()), pa.array([*b.tolist(), *[None] * n], pa.int64()),
-                pa.array([None] * len(a) + again, pa.int64())], ["a", "b", "again"])
+                pa.array([None] * len(a) + sorted(again), pa.int64())], ["a", "b", "again"])
 
     return run
 
 
-def _candidates(members: DataFrame, num: int, den: int, apart: bool, ws: Workspace, name: str) -> DataFrame:
-    """a, b, again: survivors of all page pairs of the members (key, f1, n, vec, root) of each key."""
-    hot = ws.save(members.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > PAGE), "hot")
-    of = F.coalesce(F.ceil(F.col("c") / PAGE), F.lit(1))
-    dealt = members.join(hot, "key", "left").withColumn("page", F.pmod(F.xxhash64("f1"), of))
-    pages = dealt.groupBy("key", "page", of.alias("of")).agg(F.collect_list(F.struct("f1", "n", "vec", "root")).alias("points"))
-    pages = ws.save(pages, name)
-    alone = pages.where("of = 1").select("key", F.col("points").alias("one"), F.col("points").alias("two"), F.lit(True).alias("same"))
-    several = pages.where("of > 1")
-    left = several.withColumn("with", F.explode(F.sequence(F.col("page"), F.col("of") - 1)))
-    both = left.select("key", F.col("page").alias("own"), F.col("with").alias("page"), F.col("points").alias("one")).join(several.select("key", "page", F.col("points").alias("two")), ["key", "page"])
-    both = both.select("key", "one", "two", (F.col("own") == F.col("page")).alias("same"))
-    # rows are large where a key has several pages, so few of them make a batch
-    schema, run = "a long, b long, again long", _survivors(num, den, apart)
-    found = ws.save(alone.mapInArrow(run, schema), f"{name}-few", rows=64)
-    return found.unionByName(ws.save(both.mapInArrow(run, schema), f"{name}-many", rows=4))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, points: DataFrame, docs: DataFrame, text: str, k: int, num: int, den: int, ws: Workspace) -> DataFrame:
-    """The pairs (a, b) that link: first by their fine points, then by their sets."""
-
-    def close(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            points = [[unpack(v.as_py()) for v in b.column(c)] for c in ("one", "two")]
-            need = needed(*(b.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb")), num, den)
-            keep = [fine_bound(x, y) >= n for x, y, n in zip(*points, need)]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    near = pairs.join(points.select(F.col("f1").alias("a"), F.col("fine").alias("one"), F.col("n").alias("na")), "a").join(points.select(F.col("f1").alias("b"), F.col("fine").alias("two"), F.col("n").alias("nb")), "b")
-    pairs = ws.save(near.select("a", "b", "one", "two", "na", "nb").mapInArrow(close, "a long, b long"), "close")
-    wanted = pairs.select(F.col("a").alias("f1")).unionByName(pairs.select(F.col("b").alias("f1"))).distinct()
-    chosen = sets.select("f1", "doc_key").join(wanted, "f1").groupBy("f1").agg(F.min("doc_key").alias("doc_key"))
-    bit = F.pmod(F.xxhash64("doc_key"), F.lit(FILTER_WORDS * 64))
-    filled = chosen.select(F.floor(bit / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int")).alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).collect()
-    bits = np.zeros(FILTER_WORDS, np.int64)
-    bits[[r["w"] for r in filled]] = [r["m"] for r in filled]
-    sent = ws.spark.sparkContext.broadcast(bits)
-
-    def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = sent.value
-        for b in batches:
-            at = b.column("bit").to_numpy(zero_copy_only=False)
-            b = b.filter(pa.array((held[at >> 6] >> (at & 63)) & 1 == 1))
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                f1, body = [], []
-                for s in text_sets(part.column("text"), k):
-                    f1.append(_fingerprints(s)[0])
-                    body.append(s.tobytes())
-                yield pa.record_batch([pa.array(f1, pa.int64()), pa.array(body, pa.binary())], ["f1", "body"])
-
-    source = docs.select(F.pmod(F.xxhash64(_doc_key(docs, text)), F.lit(FILTER_WORDS * 64)).alias("bit"), F.col(text).alias("text"))
-    built = source.mapInArrow(build, "f1 long, body binary").join(wanted, "f1", "left_semi").groupBy("f1").agg(F.first("body").alias("body"))
-    built = ws.save(built, "bodies")
-
-    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("one"), b.column("two")):
-                s, t = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                if len(s) > len(t):
-                    s, t = t, s
-                at = np.searchsorted(t, s)
-                same = int((t[np.minimum(at, len(t) - 1)] == s).sum())
-                keep.append(same >= needed(len(s), len(t), num, den))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    joined = pairs.join(built.select(F.col("f1").alias("a"), F.col("body").alias("one")), "a").join(built.select(F.col("f1").alias("b"), F.col("body").alias("two")), "b")
-    out = ws.save(joined.select("a", "b", "one", "two").mapInArrow(check, "a long, b long"), "links", rows=256)
-    ws.drop(built)
-    return out
-
-
-def _doc_key(docs: DataFrame, text: str):
+def _candidates(members: DataFrame, num: int, den: int, within: bool, ws: Workspace, name: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs, pages): a, b, again for the pages of the members (key, node, n, vec, root[, body]) of each key, and the pages; ``within``: only of pages with themselves."""
+    carried = [c for c in ("node", "n", "vec", "root", "body") if c in members.columns]
+    pages = F.ceil(F.col("c") / PAGE) if "body" not in carried else F.greatest(F.ceil(F.col("c") / PAGE), F.ceil(F.col("shingles") / BODY))
+    size = members.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("shingles"))
+    hot = ws.save(size.select("key", pages.alias("of")).where("of > 1"), "hot")
+    of = F.coalesce(F.col("of"), F.lit(1).cast("long"))
+    dealt = members.join(hot, "key", "left").withColumn("of", of).withColumn("page", F.pmod(F.xxhash64("node"), F.col("of")))
+    pages = ws.save(dealt.groupBy("key", "page", "of").agg(F.collect_list(F.struct(*carried)).alias("points")), name)
+    schema, run = "a long, b long, again long", _survivors(num, den)
+    points = pages.schema["points"].dataType
+    own = pages.select("key", "of", F.col("points").alias("one"), F.lit(None).cast(points).alias("two"))
+    found = ws.save(own.mapInArrow(run, schema), f"{name}-own", rows=128 if "body" not in carried else 4)
+    if not within:
+        several = pages.where("of > 1")
+        left = several.where("page < of - 1").withColumn("with", F.explode(F.sequence(F.col("page") + 1, F.col("of") - 1)))
+        both = left.select("key", "of", F.col("with").alias("page"), F.col("points").alias("one")).join(several.select("key", "page", F.col("points").alias("two")), ["key", "page"])
+        # rows are large where a key has several pages, so few of them make a batch
+        found = found.unionByName(ws.save(both.select("key", "of", "one", "two").mapInArrow(run, schema), f"{name}-cross", rows=4))
+    return found, pages
+
+
+class _Sets:
+    """Looks up the sets of classes: ``points`` (node, n, f1, f2, vec, fine, doc_key) of the texts of ``docs``."""
+
+    def __init__(self, docs: DataFrame, text: str, points: DataFrame, k: int, ws: Workspace):
+        self.docs, self.text, self.points, self.k, self.ws = docs, text, points, k, ws
+
+    def bodies(self, wanted: DataFrame) -> DataFrame:
+        """node, body for the classes of ``wanted`` (node): one text of each is found again through a filter of fixed size."""
+        ws, text, k = self.ws, self.text, self.k
+        chosen = ws.save(self.points.join(wanted, "node", "left_semi").select("node", "f1", "f2", "doc_key"), "chosen")
+        bit = F.pmod(F.xxhash64("doc_key"), F.lit(FILTER_WORDS * 64))
+        filled = chosen.select(F.floor(bit / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int")).alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).collect()
+        bits = np.zeros(FILTER_WORDS, np.int64)
+        bits[[r["w"] for r in filled]] = [r["m"] for r in filled]
+        sent = ws.spark.sparkContext.broadcast(bits)
+
+        def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = sent.value
+            for b in batches:
+                at = b.column("bit").to_numpy(zero_copy_only=False)
+                b = b.filter(pa.array((held[at >> 6] >> (at & 63)) & 1 == 1))
+                for lo in range(0, b.num_rows, 256):
+                    part = b.slice(lo, 256)
+                    f1, f2, body = [], [], []
+                    for s in text_sets(part.column("text"), k):
+                        p, q = _fingerprints(s)
+                        f1.append(p)
+                        f2.append(q)
+                        body.append(s.tobytes())
+                    yield pa.record_batch([pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(body, pa.binary())], ["f1", "f2", "body"])
+
+        source = self.docs.select(F.pmod(F.xxhash64(_doc_key(text)), F.lit(FILTER_WORDS * 64)).alias("bit"), F.col(text).alias("text"))
+        built = source.mapInArrow(build, "f1 long, f2 long, body binary").join(chosen.select("node", "f1", "f2"), ["f1", "f2"])
+        return ws.save(built.groupBy("node").agg(F.first("body").alias("body")), "bodies")
+
+    def linked(self, pairs: DataFrame, num: int, den: int) -> DataFrame:
+        """The pairs (a, b) that link: first by their fine points, then by their sets."""
+
+        def close(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                points = [[unpack(v.as_py()) for v in b.column(c)] for c in ("one", "two")]
+                need = needed(*(b.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb")), num, den)
+                keep = [fine_bound(x, y) >= n for x, y, n in zip(*points, need)]
+                yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep = []
+                for x, y in zip(b.column("one"), b.column("two")):
+                    s, t = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                    keep.append(overlap(s, t) >= needed(len(s), len(t), num, den))
+                yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        ws, points = self.ws, self.points
+        near = pairs.join(points.select(F.col("node").alias("a"), F.col("fine").alias("one"), F.col("n").alias("na")), "a").join(points.select(F.col("node").alias("b"), F.col("fine").alias("two"), F.col("n").alias("nb")), "b")
+        pairs = ws.save(near.select("a", "b", "one", "two", "na", "nb").mapInArrow(close, "a long, b long"), "close")
+        built = self.bodies(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+        joined = pairs.join(built.select(F.col("node").alias("a"), F.col("body").alias("one")), "a").join(built.select(F.col("node").alias("b"), F.col("body").alias("two")), "b")
+        out = ws.save(joined.select("a", "b", "one", "two").mapInArrow(check, "a long, b long"), "links", rows=256)
+        ws.drop(built)
+        return out
+
+
+def _doc_key(text: str):
     """Any value that finds a set's text again: a hash of the text."""
     return F.xxhash64(F.col(text))
 
 
+def _trees(full: DataFrame, points: DataFrame, ws: Workspace) -> DataFrame:
+    """key, node, n, vec: the sets of each key that several sets have; keys with the same sets are one."""
+    keyed = full.select("f1", "f2", F.explode("keys").alias("key"))
+    shared = ws.save(keyed.groupBy("key").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("key"), "shared")
+    one_each = ws.save(join_few(keyed, shared, "key", "left_semi", KEY_WORDS).select("key", "f1", "f2").distinct(), "entries")
+    same = [F.count("*").alias("c"), F.min("f1").alias("lo"), F.max("f1").alias("hi"), F.bit_xor(F.xxhash64("f1", "f2")).alias("x"), F.bit_xor(F.xxhash64("f2", "f1")).alias("y")]
+    chosen = one_each.groupBy("key").agg(*same).groupBy("c", "lo", "hi", "x", "y").agg(F.min("key").alias("key"))
+    chosen = ws.save(chosen.select("key"), "chosen-keys")
+    members = one_each.join(chosen, "key", "left_semi").join(points.select("f1", "f2", "node", "n", "vec"), ["f1", "f2"])
+    return ws.save(members.select("key", "node", "n", "vec"), "members")
+
+
+def _links(members: DataFrame, sets: _Sets, num: int, den: int, ws: Workspace) -> DataFrame | None:
+    """node, root of the linked classes; None without any."""
+    found, pages = _candidates(members.withColumn("root", F.col("node")), num, den, True, ws, "pages")
+    links = sets.linked(found.where("a is not null").select("a", "b").distinct(), num, den)
+    rest = ws.save(found.where("again is not null").select(F.col("again").alias("key")).unionByName(pages.where("of > 1").select("key")).distinct(), "rest")
+    roots = components(links, ws)
+    for turn in range(ROUNDS + 1):
+        if rest.isEmpty():
+            break
+        part = members.join(rest, "key", "left_semi").join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        part = ws.save(part, "unsettled")
+        open_ = part.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        part = part.join(ws.save(open_, "open"), "key", "left_semi")
+        if turn == ROUNDS:
+            part = part.join(sets.bodies(part.select("node").distinct()), "node")
+        found, _ = _candidates(part, num, den, False, ws, f"round{turn}")
+        pairs = found.where("a is not null").select("a", "b").distinct()
+        more = pairs if turn == ROUNDS else sets.linked(pairs, num, den)
+        links = links.unionByName(more)
+        rest = ws.save(found.where("again is not null").select(F.col("again").alias("key")).distinct(), "rest")
+        roots = components(links, ws)
+    return roots
+
+
 @carrying
 def similar_groups(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """The ``keep`` columns of every row plus n_shingles and component_id.
@@ -324,35 +455,18 @@ def similar_groups(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", tex
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
                 yield pa.record_batch([*[part.column(c) for c in [*own, "doc_key"]], pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(vec, pa.binary()), pa.array(fine, pa.binary()), lists], [*own, "doc_key", "n", "f1", "f2", "vec", "fine", "keys"])
 
-    source = docs.select(*own, _doc_key(docs, text).alias("doc_key"), text)
-    sets = ws.save(source.mapInArrow(build, f"{kept}, doc_key long, {SETS}"), "sets")
-    full = sets.where("n > 0")
-    keyed = full.select("f1", F.explode("keys").alias("key"))
-    shared = ws.save(keyed.groupBy("key").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("key"), "shared")
-    one_each = ws.save(join_few(keyed, shared, "key", "left_semi", KEY_WORDS).select("key", "f1").distinct(), "members")
-    points = ws.save(full.groupBy("f1").agg(F.first("n").alias("n"), F.first("vec").alias("vec"), F.first("fine").alias("fine")), "points")
-    sizes = ws.save(one_each.groupBy("key").agg(F.count("*").alias("c"), F.min("f1").alias("a"), F.max("f1").alias("b")), "sizes")
-    # two sets need no tree: their fine points are compared at once
-    two = sizes.where("c = 2").select("a", "b").distinct()
-    crowded = one_each.join(sizes.where("c > 2").select("key"), "key", "left_semi")
-    members = crowded.join(points.drop("fine"), "f1").select("key", "f1", "n", "vec", F.col("f1").alias("root"))
-    found = _candidates(members, num, den, False, ws, "pages")
-    links = _verified(ws.save(found.where("a is not null").select("a", "b").unionByName(two).distinct(), "pairs"), sets, points, docs, text, k, num, den, ws)
-    roots = components(links, ws)
-    again = found.where("again is not null").select(F.col("again").alias("key")).distinct()
-    if not again.isEmpty():
-        # dense keys: what their forests have joined needs no more looking at
-        part = ws.save(one_each.join(again, "key", "left_semi"), "dense")
-        part = part.join(points.drop("fine"), "f1").join(roots.select(F.col("node").alias("f1"), "root"), "f1", "left").select("key", "f1", "n", "vec", F.coalesce("root", "f1").alias("root"))
-        rest = _candidates(part, num, den, True, ws, "dense-pages").select("a", "b").distinct()
-        more = _verified(ws.save(rest, "pairs"), sets, points, docs, text, k, num, den, ws)
-        roots = components(links.unionByName(more), ws)
-    ids = full.groupBy("f1").agg(F.min("_id").alias("first")).join(roots.select(F.col("node").alias("f1"), "root"), "f1", "left").withColumn("root", F.coalesce("root", "f1"))
+    source = docs.select(*own, _doc_key(text).alias("doc_key"), text)
+    every = ws.save(source.mapInArrow(build, f"{kept}, doc_key long, {SETS}"), "sets")
+    full = every.where("n > 0")
+    of_class = [F.min("_id").alias("first"), F.min("doc_key").alias("doc_key"), *[F.first(c).alias(c) for c in ("n", "vec", "fine")]]
+    points = ws.save(full.groupBy("f1", "f2").agg(*of_class).withColumn("node", F.monotonically_increasing_id()), "points")
+    roots = _links(_trees(full, points, ws), _Sets(docs, text, points, k, ws), num, den, ws)
+    ids = points.select("node", "f1", "f2", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = ws.save(ids, "ids")
     least = ws.save(ids.groupBy("root").agg(F.min("first").alias("component")), "least")
-    named = ids.join(least, "root").select("f1", "component")
+    named = ws.save(ids.join(least, "root").select("f1", "f2", "component"), "named")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_id"))
-    return sets.select(*own, "n", "f1").join(named, "f1", "left").select(*keep, F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return every.select(*own, "n", "f1", "f2").join(named, ["f1", "f2"], "left").select(*keep, F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

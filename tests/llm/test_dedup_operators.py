@@ -117,7 +117,7 @@ def edited(rng, words, n):
     return " ".join(words)
 
 
-@pytest.mark.parametrize(("k", "num", "dense"), [(3, 90, 4), (5, 80, 4), (3, 80, 0)])
+@pytest.mark.parametrize(("k", "num", "dense"), [(3, 90, 4), (5, 80, 1), (3, 80, 0)])
 def test_groups_by_brute_force(spark, monkeypatch, k, num, dense):
     """Small pages and a low limit for forests, so that paging, forests and the second look all take part."""
     monkeypatch.setattr(ngram_join, "PAGE", 16)
