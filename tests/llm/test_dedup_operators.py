@@ -220,14 +220,15 @@ def brute_hits(text, items, window):
     return len(w), len(hit), sorted(found)
 
 
-def test_hits_by_brute_force(spark, awkward, empty):
+def test_hits_by_brute_force(spark, awkward, empty, monkeypatch):
     rng = np.random.default_rng(3)
     word = lambda n: " ".join("abcde"[k] for k in rng.integers(0, 5, n))
     items = [(i, word(rng.integers(1, 9))) for i in range(12)] + [(50, None), (51, " .!"), (52, "B a"), (53, "b, A")]
     docs = [(i, word(rng.integers(0, 60))) for i in range(40)] + [(90, None), (91, "")]
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = {i: brute_hits(t, items, 4) for i, t in docs}
-    for block in (10**6, 20):
+    for block, chunk in ((10**6, 1 << 19), (20, 3)):
+        monkeypatch.setattr(decontamination, "CANDIDATES", chunk)
         got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontamination.decontaminate(df, bench, ["doc_id"], window=4, block_words=block).collect()}
         assert got == want
     assert decontamination.decontaminate(awkward, bench, ["doc_id", "lang"]).count() == awkward.count()
@@ -244,13 +245,27 @@ def test_proximity(spark):
 
 @needs_tables
 def test_decontamination_query(spark):
+    """Every row, long texts included."""
     docs = spark.read.parquet(f"{ROOT_TABLES}/documents.parquet").select("doc_id", "text").collect()
-    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{ROOT_TABLES}/benchmark.parquet").collect()]
-    texts = {r["doc_id"]: r["text"] for r in docs if len(r["text"]) < 3000}
-    for r in decontamination.op7_decontamination(spark, ROOT_TABLES).where(F.col("doc_id").isin(list(texts)[:40])).collect():
-        n, hit, found = brute_hits(texts[r["doc_id"]], items, 10)
-        assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (n, hit, len(found), hit > 0)
-        assert r["items_sha256"] == hashlib.sha256(",".join(found).encode()).hexdigest()
+    items = {str(r["item_id"]): plain_words(r["text"], "alnum") for r in spark.read.parquet(f"{ROOT_TABLES}/benchmark.parquet").collect()}
+    windows = collections.defaultdict(set)
+    for i, x in items.items():
+        n = min(10, len(x))
+        for s in range(len(x) - n + 1 if n else 0):
+            windows[tuple(x[s : s + n])].add(i)
+    sizes = sorted({len(x) for x in windows})
+    got = {r["doc_id"]: r for r in decontamination.op7_decontamination(spark, ROOT_TABLES).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        w, hit, found = plain_words(r["text"], "alnum"), set(), set()
+        for n in sizes:
+            for p in range(len(w) - n + 1):
+                if (own := windows.get(tuple(w[p : p + n]))) is not None:
+                    hit.update(range(p, p + n))
+                    found |= own
+        mine = got[r["doc_id"]]
+        assert (mine["n_words"], mine["n_hit"], mine["n_items"], mine["contaminated"]) == (len(w), len(hit), len(found), bool(hit))
+        assert mine["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
 
 
 # --- pipeline
