@@ -24,7 +24,7 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--portion", type=float, default=1.0)
     p.add_argument("--tol", type=float, default=1e-4)
     p.add_argument("--reach", type=float, help="stop when the sum of values reaches this")
-    p.add_argument("--max-rounds", type=int, default=100)
+    p.add_argument("--max-rounds", type=int, help="stop after so many rounds, done or not")
     p.add_argument("--check-every", type=int, default=1)
     p.add_argument("--checkpoint", help="folder for epoch snapshots")
     p.add_argument("--log", help="folder for the convergence log")

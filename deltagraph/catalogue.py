@@ -6,13 +6,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deltagraph.functions import scalars
 from deltagraph.operators import algorithms as alg
-from deltagraph.operators import hubs, partition, table_ops, udf
-from deltagraph.plans.engine import Adjacency, Options, Result, initial_state, one_round, rounds, run, shared_dir, truncate
+from deltagraph.operators import hubs, partition, shards, table_ops, udf
+from deltagraph.plans.engine import Adjacency, Options, Result, initial_state, messages, one_round, rounds, run, shared_dir, truncate
 from deltagraph.plans.kernel import MAX, MIN, SUM, Kernel
 from deltagraph.plans.schedule import priorities, top_portion
 from deltagraph.plans.terminate import Diff, Reach
@@ -123,6 +123,20 @@ def _v(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select("id", F.round("v", digits).alias("v"))
 
 
+def _hub_split(spark: SparkSession, vertices: DataFrame, edges: DataFrame, kernel: Kernel, k: int | None = None) -> DataFrame:
+    """k rounds with hubs apart, or rounds until nothing is pending."""
+    split, folder, state = hubs.HubSplit(edges, HUB_DEGREE), f"{shared_dir(spark)}/hub-split", initial_state(vertices, kernel)
+    while k is None or k > 0:
+        for _i in range(2 if k is None else min(2, k)):
+            before, state = state, split.round(state, kernel)
+        state = truncate(state, folder)
+        if k is None and state.where(kernel.is_pending(F.col("delta"))).isEmpty():
+            break
+        k = None if k is None else k - 2
+    split.release()
+    return state
+
+
 def _first_id(edges: DataFrame) -> int:
     return edges.agg(F.least(F.min("src"), F.min("dst")).alias("i")).first()["i"]
 
@@ -142,12 +156,7 @@ def _(spark, sf):
 
 @query("pagerank_hub_split", _pagerank_sql("cust_supp", 8))
 def _(spark, sf):
-    vertices, edges = _graph(spark, sf, "cust_supp")
-    kernel, folder = alg.pagerank(), f"{shared_dir(spark)}/hub-split"
-    state = initial_state(vertices, kernel)
-    for _i in range(8):
-        state = truncate(hubs.split_round(state, edges, kernel, HUB_DEGREE), folder)
-    return _v(state)
+    return _v(_hub_split(spark, *_graph(spark, sf, "cust_supp"), alg.pagerank(), 8))
 
 
 @query("pagerank_udf", _pagerank_sql("user_next", 5))
@@ -155,7 +164,12 @@ def _(spark, sf):
     return _v(_fixed(spark, sf, "user_next", udf.with_emit(alg.pagerank(), lambda d, v, w, n: d * 0.8 / n), 5))
 
 
-@query("connected_components", _rounds("sparse_parts", 40, "NULL", "id", "s.nv", "max", kind="BIGINT") + "SELECT id, v FROM r WHERE k = 40")
+@query("connected_components", _rounds("supp_part", 12, "NULL", "id", "s.nv", "max", kind="BIGINT") + "SELECT id, v FROM r WHERE k = 12")
+def _(spark, sf):
+    return _settled(spark, sf, "supp_part", alg.connected_components()).state.select("id", "v")
+
+
+@query("connected_components_sparse", _rounds("sparse_parts", 40, "NULL", "id", "s.nv", "max", kind="BIGINT") + "SELECT id, v FROM r WHERE k = 40")
 def _(spark, sf):
     return _settled(spark, sf, "sparse_parts", alg.connected_components()).state.select("id", "v")
 
@@ -175,6 +189,39 @@ def _(spark, sf):
     return run(initial_state(vertices, kernel), Adjacency.build(vertices, edges), kernel, Options(checker=None, check_every=2)).state.select("id", "v")
 
 
+@query("hub_split_sssp", _rounds("supp_part", 25, d0="CASE WHEN id = 1 THEN 0 END", **_SSSP) + "SELECT id, v FROM r WHERE k = 25 AND v IS NOT NULL")
+def _(spark, sf):
+    return _hub_split(spark, *_graph(spark, sf, "supp_part"), alg.shortest_paths(1)).where("v is not null").select("id", "v")
+
+
+@query("priority_sampled", _rounds("supp_part", 25, d0="CASE WHEN id = 1 THEN 0 END", **_SSSP) + "SELECT id, v FROM r WHERE k = 25 AND v IS NOT NULL")
+def _(spark, sf):
+    """Rounds over the top half by a sketch of the priorities; order of work doesn't change what is settled."""
+    vertices, edges = _graph(spark, sf, "supp_part")
+    kernel = alg.shortest_paths(1)
+    done = run(initial_state(vertices, kernel), Adjacency.build(vertices, edges), kernel, Options(portion=0.5, exact=False))
+    return done.state.where("v is not null").select("id", "v")
+
+
+@query("registry_solve", _rounds("supp_part", 25, d0="CASE WHEN id = 1 THEN 0 END", **_SSSP) + "SELECT id, v FROM r WHERE k = 25")
+def _(spark, sf):
+    """By name and with default options, as from the command line."""
+    return alg.solve("shortest_paths", *_graph(spark, sf, "supp_part"), source=1).state.select("id", "v")
+
+
+@query("sssp_chain", """WITH RECURSIVE s AS MATERIALIZED (SELECT s_suppkey AS id, CAST(s_suppkey % 3 AS DOUBLE) AS w, row_number() OVER (ORDER BY s_suppkey) AS place FROM supplier)
+SELECT id, coalesce(sum(w) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS v FROM s""")
+def _(spark, sf):
+    """All suppliers one after the other, a third of the steps free of charge: as many rounds as suppliers."""
+    nxt = F.lead("s_suppkey").over(Window.orderBy("s_suppkey"))
+    chain = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("src"), nxt.alias("dst"), (F.col("s_suppkey") % 3).cast("double").alias("weight"))
+    edges = truncate(chain.select(F.col("src").cast("long"), F.col("dst").cast("long"), "weight"), f"{shared_dir(spark)}/graphs")
+    kernel = alg.shortest_paths(edges.agg(F.min("src")).first()[0])
+    vertices = edges.select(F.col("src").alias("id"))
+    done = run(initial_state(vertices, kernel), Adjacency.build(vertices, edges.where("dst is not null")), kernel, Options(check_every=10))
+    return done.state.select("id", "v")
+
+
 @query("katz", _rounds("user_next", 6, "0", "CASE WHEN id = (SELECT min(id) FROM x) THEN 1e6 ELSE 0 END", "s.delta * 0.01") + "SELECT id, round(v, 4) AS v FROM r WHERE k = 6")
 def _(spark, sf):
     vertices, edges = _graph(spark, sf, "user_next")
@@ -192,6 +239,12 @@ def _(spark, sf):
     return _v(rounds(initial_state(vertices, kernel), Adjacency.build(vertices, edges.withColumn("weight", F.col("weight") / 50)), kernel, 5))
 
 
+@query("hub_split_adsorption", _rounds("supp_part", 5, "0", "CASE WHEN id < 10 THEN 10 ELSE 0 END", "s.delta * 0.1 * e.weight", edges=_SCALED) + "SELECT id, round(v, 6) AS v FROM r WHERE k = 5")
+def _(spark, sf):
+    vertices, edges = _graph(spark, sf, "supp_part")
+    return _v(_hub_split(spark, vertices, edges.withColumn("weight", F.col("weight") / 50), alg.adsorption(10), 5))
+
+
 def _simrank(spark: SparkSession, sf: str) -> tuple[DataFrame, Adjacency, Kernel]:
     vertices, edges = alg.simrank_graph(*_graph(spark, sf, "nation_top3"))
     kernel = alg.simrank()
@@ -226,10 +279,9 @@ def _(spark, sf):
 
 @query("emit_messages", f"WITH {_tables('cust_supp')} SELECT dst, count(*) AS n, round(sum(0.2 * 0.8 / degree), 6) AS d FROM e JOIN deg ON deg.src = e.src GROUP BY dst")
 def _(spark, sf):
-    edges = graphs.edges(spark, sf, "cust_supp")
-    degree = hubs.out_degree(edges)
-    sent = edges.join(degree, "src").select("dst", (F.lit(0.2) * 0.8 / F.col("n")).alias("m"))
-    return sent.groupBy("dst").agg(F.count("*").alias("n"), F.round(F.sum("m"), 6).alias("d"))
+    vertices, edges = _graph(spark, sf, "cust_supp")
+    sent = messages(initial_state(vertices, alg.pagerank()), edges, alg.pagerank())
+    return sent.groupBy("dst").agg(F.count("*").alias("n"), F.round(F.sum("d"), 6).alias("d"))
 
 
 @query("one_round", _rounds("cust_supp", 1, **_PR) + "SELECT id, round(v, 6) AS v, round(delta, 6) AS delta FROM r WHERE k = 1")
@@ -237,9 +289,9 @@ def _(spark, sf):
     return _fixed(spark, sf, "cust_supp", alg.pagerank(), 1).select("id", F.round("v", 6).alias("v"), F.round("delta", 6).alias("delta"))
 
 
-@query("active_vertices", _rounds("sparse_parts", 2, d0="CASE WHEN id = (SELECT min(id) FROM x) THEN 0 END", **_SSSP) + "SELECT id FROM r WHERE k = 2 AND delta IS NOT NULL")
+@query("active_vertices", _rounds("supp_part", 2, d0="CASE WHEN id = (SELECT min(id) FROM x) THEN 0 END", **_SSSP) + "SELECT id FROM r WHERE k = 2 AND delta IS NOT NULL")
 def _(spark, sf):
-    vertices, edges = _graph(spark, sf, "sparse_parts")
+    vertices, edges = _graph(spark, sf, "supp_part")
     kernel = alg.shortest_paths(_first_id(edges))
     return rounds(initial_state(vertices, kernel), Adjacency.build(vertices, edges), kernel, 2).where(kernel.is_pending(F.col("delta"))).select("id")
 
@@ -274,7 +326,7 @@ def _acc_sql(agg: str) -> str:
 
 
 for _name, _acc, _agg in (("sum", SUM, "sum(weight)"), ("min", MIN, "min(weight)"), ("max", MAX, "max(weight)")):
-    query(f"accumulate_{_name}", _acc_sql(_agg))(lambda spark, sf, a=_acc: _messages(spark, sf).groupBy(F.col("dst").alias("id")).agg(a.over(F.col("d")).alias("d")))
+    query(f"accumulate_{_name}", _acc_sql(_agg))(lambda spark, sf, a=_acc: table_ops.combined(_messages(spark, sf), a).withColumnRenamed("dst", "id"))
 
 
 @query("accumulate_replace", _acc_sql("max_by(weight, src)"))
@@ -301,9 +353,10 @@ def _(spark, sf):
     return _watched(spark, sf).select("round", F.round("current", 4).alias("current"))
 
 
-@query("progress_log", _rounds("cust_supp", 8, **_PR) + "SELECT CAST(k AS INTEGER) AS round, round(sum(v), 4) AS current, count(*) FILTER (delta <> 0) AS active FROM r WHERE k > 0 GROUP BY k")
+@query("progress_log", _rounds("cust_supp", 8, **_PR) + """, g AS (SELECT k, sum(v) AS c, count(*) FILTER (delta <> 0) AS active FROM r GROUP BY k)
+SELECT CAST(k AS INTEGER) AS round, round(c, 4) AS current, active, CAST((SELECT sum(active) FROM g h WHERE h.k < g.k) AS BIGINT) AS updates FROM g WHERE k > 0""")
 def _(spark, sf):
-    return _watched(spark, sf).select("round", F.round("current", 4).alias("current"), "active")
+    return _watched(spark, sf).select("round", F.round("current", 4).alias("current"), "active", "updates")
 
 
 _STOP = "s AS (SELECT k, sum(v) AS c, sum(v) - lag(sum(v)) OVER (ORDER BY k) AS d FROM r WHERE k > 0 GROUP BY k)"
@@ -323,6 +376,43 @@ def _(spark, sf):
     return spark.range(1).select(F.lit(r.progress[-1]["round"]).cast("bigint").alias("rounds"))
 
 
+class _Largest:
+    """Stop when the largest value is at least ``least``: a checker with an estimate of its own."""
+
+    def __init__(self, least: float):
+        self.least = least
+
+    def reset(self) -> None: ...
+
+    def estimate(self):
+        return F.max("v")
+
+    def terminate(self, current: float, residual: float) -> bool:
+        return current >= self.least
+
+
+@query("termination_user", _rounds("cust_supp", 30, **_PR) + "SELECT CAST(min(k) AS BIGINT) AS rounds FROM (SELECT k, max(v) AS m FROM r WHERE k > 0 GROUP BY k) s WHERE m >= 0.99 * (SELECT max(v) FROM r WHERE k = 12)")
+def _(spark, sf):
+    vertices, edges = _graph(spark, sf, "cust_supp")
+    kernel, adj = alg.pagerank(), Adjacency.build(vertices, edges)
+    most = rounds(initial_state(vertices, kernel), adj, kernel, 12).agg(F.max("v")).first()[0]
+    done = run(initial_state(vertices, kernel), adj, kernel, Options(checker=_Largest(0.99 * most), max_rounds=30))
+    return spark.range(1).select(F.lit(done.progress[-1]["round"]).cast("bigint").alias("rounds"))
+
+
+_CAPPED = _rounds("user_next", 1, **_PR) + "SELECT id, round(v, 6) AS v, round(least(delta, 0.1 + v / 2), 6) AS delta FROM r WHERE k = 1"
+
+
+@query("trigger_cap", _CAPPED)
+def _(spark, sf):
+    """A trigger that caps each change by what the vertex has."""
+    vertices, edges = _graph(spark, sf, "user_next")
+    kernel = alg.pagerank()
+    cap = lambda key, current, update: F.least(update, 0.1 + current / 2)
+    done = run(initial_state(vertices, kernel), Adjacency.build(vertices, edges), kernel, Options(max_rounds=1, checker=None, trigger=cap))
+    return done.state.select("id", F.round("v", 6).alias("v"), F.round("delta", 6).alias("delta"))
+
+
 @query("result_totals", _rounds("cust_supp", 8, **_PR) + "SELECT round(sum(delta), 4) AS f1, round(sum(v), 4) AS f2, count(*) AS n FROM r WHERE k = 8")
 def _(spark, sf):
     return adjacency.result_totals(_fixed(spark, sf, "cust_supp", alg.pagerank(), 8)).select(F.round("f1", 4).alias("f1"), F.round("f2", 4).alias("f2"), "n")
@@ -368,6 +458,47 @@ def _(spark, sf):
     return partition.shard_sizes(graphs.vertices_of(graphs.edges(spark, sf, "cust_supp")), partition.mod(F.col("id"), SHARDS))
 
 
+@query("shard_text", f"""SELECT c_name, CAST(CAST('0x' || substr(md5(c_name), 1, 8) AS BIGINT) % {SHARDS} AS BIGINT) AS shard FROM customer""")
+def _(spark, sf):
+    return spark.read.parquet(f"{sf}/customer.parquet").select("c_name", partition.text_digest(F.col("c_name"), SHARDS).alias("shard"))
+
+
+@query("shard_user", f"SELECT length(c_mktsegment) % 3 AS shard, count(*) AS n FROM customer GROUP BY 1")
+def _(spark, sf):
+    """A sharder of the user's own: any Column."""
+    return partition.shard_sizes(spark.read.parquet(f"{sf}/customer.parquet"), (F.length("c_mktsegment") % 3).cast("bigint"))
+
+
+def _shard_sum(batches):
+    import pandas as pd
+
+    for b in batches:
+        yield pd.DataFrame({"shard": b["id"] % SHARDS, "v": b["id"] * 0.5}).groupby("shard", as_index=False).sum()
+
+
+_SHARD_SUM = f"WITH {_tables('user_next')} SELECT id % {SHARDS} AS shard, sum(id * CAST(0.5 AS DOUBLE)) AS v FROM x WHERE "
+
+
+def _on_shards(spark: SparkSession, sf: str, how: Callable) -> DataFrame:
+    ids = graphs.vertices_of(graphs.edges(spark, sf, "user_next"))
+    return how(ids, partition.mod(F.col("id"), SHARDS)).groupBy("shard").agg(F.sum("v").alias("v"))
+
+
+@query("run_all", _SHARD_SUM + "TRUE GROUP BY 1")
+def _(spark, sf):
+    return _on_shards(spark, sf, lambda ids, shard: shards.run_all(ids, shard, SHARDS, _shard_sum, "shard long, v double"))
+
+
+@query("run_range", _SHARD_SUM + f"id % {SHARDS} IN (0, 1) GROUP BY 1")
+def _(spark, sf):
+    return _on_shards(spark, sf, lambda ids, shard: shards.run_range(ids, shard, SHARDS, [0, 1], _shard_sum, "shard long, v double"))
+
+
+@query("run_one", _SHARD_SUM + f"id % {SHARDS} = 2 GROUP BY 1")
+def _(spark, sf):
+    return _on_shards(spark, sf, lambda ids, shard: shards.run_one(ids, shard, 2, _shard_sum, "shard long, v double"))
+
+
 # --- table operations ----------------------------------------------------------------------------------------------------
 
 _STATE = f"WITH {_tables('user_next')}, t AS (SELECT id, id * 0.5 AS v, CAST(id % 7 AS DOUBLE) AS delta FROM x) "
@@ -462,6 +593,19 @@ def _(spark, sf):
     return adjacency.read_weighted(spark, path)
 
 
+@query("read_pairs", f"""WITH {_tables('nation_top3')}, {_PAIRS}, o AS (SELECT src, count(*) AS n, string_agg(CAST(dst AS VARCHAR), ' ' ORDER BY dst) AS t FROM e GROUP BY src)
+SELECT p.a, p.b, CAST(p.i_ab AS BIGINT) AS i_ab, coalesce(s.t, '') AS out_a, coalesce(u.t, '') AS out_b FROM p LEFT JOIN o s ON s.src = p.a LEFT JOIN o u ON u.src = p.b""")
+def _(spark, sf):
+    path, (vertices, edges) = _folder(spark, "pairs"), _graph(spark, sf, "nation_top3")
+    pairs, _e = alg.simrank_graph(vertices, edges)
+    out = edges.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("out"))
+    for c in "ab":
+        pairs = pairs.withColumn(c, F.col("id")[c]).join(out.select(F.col("src").alias(c), F.col("out").alias(f"out_{c}")), c, "left")
+    adjacency.write_pairs(pairs.withColumns({f"out_{c}": F.coalesce(f"out_{c}", F.array().cast("array<bigint>")) for c in "ab"}), path)
+    text = lambda c: F.array_join(F.transform(F.col(c), lambda x: x.cast("string")), " ").alias(c)
+    return adjacency.read_pairs(spark, path).select("a", "b", "i_ab", text("out_a"), text("out_b"))
+
+
 @query("result_roundtrip", _pagerank_sql("user_next", 3))
 def _(spark, sf):
     path = _folder(spark, "result")

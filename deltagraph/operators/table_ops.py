@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from deltagraph.plans.kernel import Kernel
+from deltagraph.plans.kernel import Accumulator, Kernel
 
 
 def upsert(state: DataFrame, rows: DataFrame) -> DataFrame:
@@ -27,9 +27,14 @@ def update(state: DataFrame, condition, **new) -> DataFrame:
     return state.withColumns({c: F.when(condition, e).otherwise(F.col(c)) for c, e in new.items()})
 
 
+def combined(messages: DataFrame, accumulator: Accumulator) -> DataFrame:
+    """Messages (dst, d) folded to one for each destination: dst, d; combined map-side."""
+    return messages.groupBy("dst").agg(accumulator.over("d").alias("d"))
+
+
 def accumulate(state: DataFrame, messages: DataFrame, kernel: Kernel, field: str = "delta") -> DataFrame:
     """Fold messages (dst, d) into a field; messages to unknown ids are dropped (see ``orphans``)."""
-    agg = messages.groupBy(F.col("dst").alias("id")).agg(kernel.accumulate.over("d").alias("_d"))
+    agg = combined(messages, kernel.accumulate).select(F.col("dst").alias("id"), F.col("d").alias("_d"))
     folded = F.when(F.col("_d").isNull(), F.col(field)).otherwise(kernel.accumulate.fold(F.col(field), F.col("_d")))
     return state.join(agg, "id", "left").withColumn(field, folded).drop("_d")
 

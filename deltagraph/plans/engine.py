@@ -7,6 +7,7 @@ groups messages, combined map-side.  A hub's chunks are rows that an adaptive sk
 
 from __future__ import annotations
 
+import math
 import tempfile
 import time
 import uuid
@@ -22,12 +23,16 @@ from deltagraph.plans.terminate import Diff, TermChecker
 
 #: Out-edges of one adjacency row.
 CHUNK = 1024
+#: Rounds after which a run of a sum kernel without a limit of its own is given up.
+LIMIT = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
+    """The cluster's shared folder (spark.checkpoint.dir).  Only a local session without one gets a temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="deltagraph-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -87,19 +92,26 @@ def initial_state(vertices: DataFrame, kernel: Kernel) -> DataFrame:
     return vertices.select("id", kernel.init_v(col).cast(kernel.kind).alias("v"), kernel.init_delta(col).cast(kernel.kind).alias("delta"))
 
 
-def one_round(state: DataFrame, adj: Adjacency, kernel: Kernel, chosen: Column | None = None, strict: bool = False) -> DataFrame:
+#: A trigger: the change to put in place of ``update`` when it is delivered to vertex ``key`` with value ``current``.
+Trigger = Callable[[Column, Column, Column], Column]
+
+
+def one_round(state: DataFrame, adj: Adjacency, kernel: Kernel, chosen: Column | None = None, strict: bool = False, trigger: Trigger | None = None) -> DataFrame:
     """The state after one round.  Rows outside ``chosen`` keep value and delta.  Messages to unknown vertices are dropped; with
-    ``strict`` they make the job fail."""
+    ``strict`` they make the job fail.  A column ``updates``, if there, counts how often a vertex was processed."""
     joined = state.join(adj.rows, "id")
+    counted = ["updates"] if "updates" in state.columns else []
     pending = kernel.is_pending(F.col("delta"))
     active = pending if chosen is None else pending & chosen
     delta = kernel.process(F.col("delta"), F.col) if kernel.process else F.col("delta")
     live = joined.select(
         "id", "entries", "degree", *adj.data, "v", F.col("delta").alias("kept"), active.alias("active"),
-        F.when(active, delta).otherwise(kernel.identity()).alias("d"))
+        F.when(active, delta).otherwise(kernel.identity()).alias("d"), *[(F.col(c) + active.cast("long")).alias(c) for c in counted])
     live = live.withColumn("sends", F.col("active") & kernel.changes(F.col("v"), F.col("d")))
     live = live.withColumn("v", F.when(F.col("active"), kernel.accumulate.fold(F.col("v"), F.col("d"))).otherwise(F.col("v")))
-    each = live.select("id", "degree", *adj.data, "v", "kept", "active", "d", "sends", F.explode("entries").alias("e")).where(F.col("e.own") | F.col("sends"))
+    # edges of vertices that don't send are not even unpacked, so a round costs what its frontier costs
+    wanted = F.when(F.col("sends") | (F.col("degree") == 0), F.col("entries"))
+    each = live.select("id", "degree", *adj.data, "v", "kept", "active", "d", *counted, F.explode(wanted).alias("e"))
     own = F.col("e.own")
     sent = kernel.emit(Message(F.col("d"), F.col("v"), F.col("e.weight"), F.col("degree"), F.col)).cast(kernel.kind)
     moved = each.select(
@@ -107,12 +119,27 @@ def one_round(state: DataFrame, adj: Adjacency, kernel: Kernel, chosen: Column |
         F.when(own, F.col("v")).alias("v"),
         F.when(own, F.when(F.col("active"), kernel.identity()).otherwise(F.col("kept"))).otherwise(sent).alias("delta"),
         own.alias("own"),
+        *[F.when(own, F.col(c)).alias(c) for c in counted],
     )
-    out = moved.groupBy("id").agg(F.max("v").alias("v"), kernel.accumulate.over("delta").alias("delta"), F.max("own").alias("own"))
+    out = moved.groupBy("id").agg(F.max("v").alias("v"), kernel.accumulate.over("delta").alias("delta"), F.max("own").alias("own"), *[F.max(c).alias(c) for c in counted])
+    if trigger:
+        fired = F.col("own") & kernel.is_pending(F.col("delta"))
+        out = out.withColumn("delta", F.when(fired, trigger(F.col("id"), F.col("v"), F.col("delta")).cast(kernel.kind)).otherwise(F.col("delta")))
     if strict:
         known = F.when(~F.col("own"), F.raise_error(F.lit("a message has no vertex"))).otherwise(F.lit(True))
-        return out.where(known).select("id", "v", "delta")
-    return out.where("own").select("id", "v", "delta")
+        return out.where(known).select("id", "v", "delta", *counted)
+    return out.where("own").select("id", "v", "delta", *counted)
+
+
+def messages(state: DataFrame, edges: DataFrame, kernel: Kernel) -> DataFrame:
+    """dst, d: what the pending changes of ``state`` (id, v, delta) send along ``edges`` (src, dst[, weight]), before they are accumulated."""
+    delta = kernel.process(F.col("delta"), F.col) if kernel.process else F.col("delta")
+    live = state.where(kernel.is_pending(F.col("delta"))).withColumn("d", delta).where(kernel.changes(F.col("v"), F.col("d")))
+    live = live.withColumn("v", kernel.accumulate.fold(F.col("v"), F.col("d")))
+    out = edges.withColumn("weight", F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0))
+    degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
+    joined = live.join(degree.withColumnRenamed("src", "id"), "id").join(out.withColumnRenamed("src", "id"), "id")
+    return joined.select("dst", kernel.emit(Message(F.col("d"), F.col("v"), F.col("weight"), F.col("degree"), F.col)).cast(kernel.kind).alias("d"))
 
 
 def rounds(state: DataFrame, adj: Adjacency, kernel: Kernel, k: int) -> DataFrame:
@@ -124,16 +151,20 @@ def rounds(state: DataFrame, adj: Adjacency, kernel: Kernel, k: int) -> DataFram
 
 @dataclass
 class Options:
-    """max_rounds; checker (when to stop, None: never before the work is done); portion of rows to schedule; rounds between checks;
-    snapshots: called with (round, state) after each check, e.g. to write epochs or fire a trigger."""
+    """max_rounds (None: run to the end; a sum kernel that isn't done after LIMIT rounds raises an error); checker (when to stop, None: never
+    before the work is done); portion of rows to schedule; rounds between checks; ``trigger``: sees and may replace each change that is
+    delivered; ``on_round``: called with (round, state) after each check, e.g. to write epochs.
+
+    Idempotent kernels (min, max) end when nothing is pending: checkers for sums aren't asked there."""
 
-    max_rounds: int = 100
+    max_rounds: int | None = None
     checker: TermChecker | None = field(default_factory=Diff)
     portion: float = 1.0
     exact: bool = True
     check_every: int = 1
     strict: bool = False
     on_round: Callable[[int, DataFrame], None] | None = None
+    trigger: Trigger | None = None
 
 
 @dataclass
@@ -143,46 +174,55 @@ class Result:
     converged: bool
 
     def progress_frame(self) -> DataFrame:
-        kind = "round int, current double, residual double, active long, elapsed double"
-        return self.state.sparkSession.createDataFrame([tuple(p[c] for c in ("round", "current", "residual", "active", "elapsed")) for p in self.progress], kind)
+        kind = "round int, current double, residual double, active long, updates long, elapsed double"
+        return self.state.sparkSession.createDataFrame([tuple(p[c] for c in ("round", "current", "residual", "active", "updates", "elapsed")) for p in self.progress], kind)
 
 
-def measure(state: DataFrame, kernel: Kernel) -> DataFrame:
-    """current (sum of values), residual (sum of pending changes), active rows: one row, aggregated in parallel."""
+def measure(state: DataFrame, kernel: Kernel, estimate: Callable[[], Column] | None = None) -> DataFrame:
+    """current (sum of values, or ``estimate``: an aggregate over the state), residual (sum of pending changes), active rows, updates so far: one
+    row, aggregated in parallel."""
     pending = kernel.is_pending(F.col("delta"))
+    current = estimate() if estimate else F.sum(F.col("v").cast("double"))
     return state.agg(
-        F.coalesce(F.sum(F.col("v").cast("double")), F.lit(0.0)).alias("current"),
+        F.coalesce(current.cast("double"), F.lit(0.0)).alias("current"),
+        F.coalesce(F.sum("updates"), F.lit(0)).alias("updates") if "updates" in state.columns else F.lit(0).cast("long").alias("updates"),
         F.coalesce(F.sum(F.when(pending, F.abs(F.col("delta").cast("double")))), F.lit(0.0)).alias("residual"),
         F.count(F.when(pending, 1)).alias("active"),
     )
 
 
 def run(state: DataFrame, adj: Adjacency, kernel: Kernel, options: Options | None = None, start: int = 0) -> Result:
-    """Rounds until nothing is pending, the checker is satisfied or max_rounds is reached."""
+    """Rounds until nothing is pending, the checker is satisfied or max_rounds is reached (then ``converged`` is False)."""
     o = options or Options()
     spark = state.sparkSession
     folder = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
-    if o.checker:
-        o.checker.reset()
+    checker = None if kernel.accumulate.idempotent and getattr(o.checker, "sums_only", False) else o.checker
+    limit = o.max_rounds if o.max_rounds is not None else math.inf if kernel.accumulate.idempotent else start + LIMIT
+    if "updates" not in state.columns:
+        state = state.withColumn("updates", F.lit(0).cast("long"))
+    if checker:
+        checker.reset()
     log, began, k, done = [], time.time(), start, False
     if o.portion < 1:
         state = truncate(state, folder)
-    while not done and k < o.max_rounds:
+    while not done and k < limit:
         before = [state]
-        for _ in range(min(o.check_every, o.max_rounds - k)):
+        for _ in range(min(o.check_every, limit - k)):
             chosen = threshold(state, kernel, o.portion, o.exact) if o.portion < 1 else None
-            state = one_round(state, adj, kernel, chosen, o.strict)
+            state = one_round(state, adj, kernel, chosen, o.strict, o.trigger)
             if o.portion < 1:
                 before.append(state := truncate(state, folder))
             k += 1
         if o.portion >= 1:
             state = truncate(state, folder)
-        row = measure(state, kernel).first()
-        log.append({"round": k, "current": row["current"], "residual": row["residual"], "active": row["active"], "elapsed": time.time() - began})
+        row = measure(state, kernel, getattr(checker, "estimate", None)).first()
+        log.append({"round": k, "current": row["current"], "residual": row["residual"], "active": row["active"], "updates": row["updates"], "elapsed": time.time() - began})
         if o.on_round:
             o.on_round(k, state)
         for old in before:
             if old is not state:
                 forget(old)
-        done = row["active"] == 0 or bool(o.checker and o.checker.terminate(row["current"], row["residual"]))
-    return Result(state, log, done)
+        done = row["active"] == 0 or bool(checker and checker.terminate(row["current"], row["residual"]))
+    if not done and o.max_rounds is None:
+        raise RuntimeError(f"{kernel.name} isn't done after {LIMIT} rounds; give max_rounds, or a checker that it can satisfy")
+    return Result(state.drop("updates"), log, done)

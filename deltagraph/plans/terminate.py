@@ -1,4 +1,7 @@
-"""When to stop.  A checker sees the sum of values and the sum of pending changes of each checked round."""
+"""When to stop.  A checker sees the sum of values and the sum of pending changes of each checked round.
+
+A checker with a method ``estimate()`` gives an aggregate Column over the state (id, v, delta) that it sees in place of the sum of values.  ``sums_only``
+marks checkers that mean nothing for min and max, whose pending changes can leave the sums as they are."""
 
 from __future__ import annotations
 
@@ -14,6 +17,8 @@ class TermChecker(Protocol):
 class Diff:
     """Stop when the sum of values moved by at most ``tol`` since the last check; never at the first."""
 
+    sums_only = True
+
     def __init__(self, tol: float = 1e-4):
         self.tol, self.last = tol, None
 
@@ -40,6 +45,8 @@ class Reach:
 class Settled:
     """Stop when the sum of pending changes is at most ``tol``."""
 
+    sums_only = True
+
     def __init__(self, tol: float = 0.0):
         self.tol = tol
 

@@ -50,6 +50,13 @@ def write_adjacency(edges: DataFrame, path: str, weighted: bool = False, mark: s
     rows.select(F.concat(F.col("src").cast("string"), F.lit("\t" + mark), F.array_join("t", " ")).alias("value")).write.text(path)
 
 
+def write_pairs(pairs: DataFrame, path: str) -> None:
+    """Pair lines of a, b, i_ab, out_a, out_b, as ``read_pairs`` takes them."""
+    text = lambda c: F.array_join(F.transform(F.col(c), lambda x: x.cast("string")), " ")
+    line = F.concat(F.concat_ws("_", "a", "b"), F.lit("\t"), F.concat_ws(" ", F.col("i_ab").cast("string"), text("out_a")), F.lit("\t"), text("out_b"))
+    pairs.select(line.alias("value")).write.text(path)
+
+
 def write_result(state: DataFrame, path: str) -> None:
     """key<TAB>value files."""
     state.select("id", "v").write.option("sep", "\t").csv(path)

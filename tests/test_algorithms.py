@@ -106,3 +106,76 @@ def test_checkers():
     d.reset()
     assert not d.terminate(2.4, 0)
     assert reach.terminate(-3, 0) and not reach.terminate(2, 0) and settled.terminate(0, 0.1)
+
+
+def test_idempotent_kernels_end_only_when_nothing_is_pending(spark):
+    """Zero weights leave the sums as they are, and a chain is longer than any default number of rounds."""
+    vertices = spark.range(4)
+    edges = spark.createDataFrame([(0, 1, 0.0), (1, 2, 0.0), (2, 3, 5.0)], "src long, dst long, weight double")
+    done = alg.solve("shortest_paths", vertices, edges)
+    assert values(done.state) == {0: 0.0, 1: 0.0, 2: 0.0, 3: 5.0} and done.converged
+    chain = spark.range(299).selectExpr("id AS src", "id + 1 AS dst", "CAST(id % 2 AS DOUBLE) AS weight")
+    done = alg.solve("shortest_paths", spark.range(300), chain, Options(check_every=25))
+    assert values(done.state) == {i: float(i // 2) for i in range(300)} and done.converged
+    short = alg.solve("shortest_paths", spark.range(300), chain, Options(check_every=10, max_rounds=20))
+    assert not short.converged and sum(v is not None for v in values(short.state).values()) == 20
+
+
+def test_a_sum_that_never_settles_is_an_error(spark, monkeypatch):
+    from deltagraph.plans import engine
+
+    monkeypatch.setattr(engine, "LIMIT", 6)
+    ring = spark.createDataFrame([(0, 1), (1, 0)], "src long, dst long")
+    with pytest.raises(RuntimeError, match="isn't done"):
+        alg.solve("katz", spark.range(2), ring, Options(checker=Diff(1e-9), check_every=3), beta=1.0)
+
+
+def test_updates_triggers_and_own_estimates(micro):
+    class Count:
+        seen = []
+
+        def reset(self): ...
+
+        def estimate(self):
+            from pyspark.sql import functions as F
+
+            return F.count(F.when(F.col("v") > 0, 1))
+
+        def terminate(self, current, residual):
+            self.seen.append(current)
+            return current >= 5
+
+    done = alg.solve("pagerank", *micro, Options(checker=Count(), max_rounds=9))
+    assert Count.seen == [5.0] and done.converged and done.progress[0]["updates"] == 5 and done.state.columns == ["id", "v", "delta"]
+    seen = alg.solve("pagerank", *micro, Options(checker=None, max_rounds=3, check_every=3)).progress
+    assert seen[-1]["updates"] == 5 + 4 + 3
+    from pyspark.sql import functions as F
+
+    none = alg.solve("pagerank", *micro, Options(checker=None, trigger=lambda key, current, update: F.when(key == 3, update).otherwise(0.0)))
+    assert values(none.state) == pytest.approx({0: 0.2, 1: 0.2, 2: 0.2, 3: 0.2 + 0.16 + 0.08, 4: 0.2})
+
+
+def test_a_round_has_one_exchange_and_combines_before_it(micro):
+    from deltagraph.plans.engine import Adjacency, initial_state, rounds
+
+    vertices, edges = micro
+    kernel = alg.pagerank()
+    adj = Adjacency.build(vertices, edges)
+    adj.rows.count()
+    plan = lambda k: rounds(initial_state(vertices, kernel), adj, kernel, k)._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+    assert plan(1).count("partial_sum(delta") == 1 and plan(1).count("Exchange hashpartitioning(id") == 1
+    adj.release()
+
+
+def test_priorities_by_ranges_equal_one_buffer(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from deltagraph.plans import schedule
+
+    state = spark.range(500).select("id", F.lit(0.0).alias("v"), ((F.col("id") * 37) % 100 / 7).alias("delta")).repartition(3)
+    kernel = alg.pagerank()
+    want = {r["id"] for r in state.where(schedule.threshold(state, kernel, 0.3)).collect()}
+    monkeypatch.setattr(schedule, "ONE_BUFFER", 10)
+    assert {r["id"] for r in state.where(schedule.threshold(state, kernel, 0.3)).collect()} == want
+    best = sorted(((-round(r["delta"], 9), r["id"]) for r in state.collect()))[:125]
+    assert {r["id"] for r in schedule.top_portion(state, kernel, 0.25).collect()} == {i for _, i in best}
