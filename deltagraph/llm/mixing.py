@@ -19,34 +19,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltagraph.llm.common import Workspace, documents, small
+from deltagraph.plans.schedule import ranked
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 BLOCK = 8192
 SEED = 20240607
 WORD = r"[^\x20\x09-\x0D]+"
-#: More distinct sources than this are refused: their totals are held on the driver.
-MAX_SOURCES = 100_000
 #: Documents left for the landing of a source, and for the next round by each of several blocks.
 LANDING, ASIDE = 64, 8
 _EPS = 1e-9
 
 
-def source_targets(sizes: dict, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> dict:
-    """Target words by source.  Sources by code point, null last, weigh ``weights`` in turn and share ``share`` times all
-    words; a target stops at ``most`` times its source's size and the excess is shared again by weight."""
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    target, left, free = {}, share * sum(sizes.values()), list(order)
-    while free:
-        total = sum(weight[s] for s in free)
-        over = [s for s in free if left * weight[s] / total > most * sizes[s]]
-        if not over:
-            return target | {s: left * weight[s] / total for s in free}
-        for s in over:
-            target[s] = most * float(sizes[s])
-        left -= sum(target[s] for s in over)
-        free = [s for s in free if s not in target]
-    return target
+def source_targets(totals: DataFrame, ws: Workspace, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """source, words, n, target of the sources (source, words, n).  Sources by code point, null last, weigh ``weights`` in turn and share ``share`` times all
+    words; a target stops at ``most`` times its source's size and the excess is shared again by weight.
+
+    The sources are a table of any length; only sums come to the driver."""
+    stored, rank = ranked(totals, F.col("source").isNull(), F.col("source"))
+    weight = F.get(F.array(*[F.lit(w) for w in weights]), (rank % len(weights)).cast("int"))
+    plan = ws.save(stored.select("source", "words", "n", weight.alias("weight")), "sources")
+    r = plan.agg(F.sum("words").alias("words"), F.sum("weight").alias("weight"), F.count("*").alias("n")).first()
+    whole, left, of, free = share * (r["words"] or 0), share * (r["words"] or 0), r["weight"] or 1, r["n"]
+    while True:
+        over = F.lit(left) * F.col("weight") / F.lit(of) > F.lit(most) * F.col("words")
+        r = plan.agg(F.sum(F.when(over, F.col("words"))).alias("words"), F.sum(F.when(~over, F.col("weight"))).alias("weight"), F.count(F.when(~over, 1)).alias("n")).first()
+        if r["n"] == free or not r["n"]:
+            # a source over the limit stays over it while the others' shares grow
+            return plan.select("source", "words", "n", F.when(over, F.lit(most) * F.col("words")).otherwise(F.lit(left) * F.col("weight") / F.lit(of)).alias("target"))
+        left, of, free = whole - most * (r["words"] or 0), r["weight"], r["n"]
 
 
 def flight(size: np.ndarray, p: np.ndarray, draw: np.ndarray) -> np.ndarray:
@@ -120,45 +120,40 @@ def _decide(t: pa.Table) -> pa.Table:
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: one row for each row of ``docs`` (doc_id, text, source).
+    """doc_id, source, size, source_size, target, copies, taken: one row for each row of ``docs`` (doc_id, text, source); other columns are left out.
 
     A null text or one without words has size 0 and takes nothing; null sources are a source of their own; repeated rows are units of their own;
     an empty table gives an empty result.  Equal inputs give equal results whatever the partitioning."""
-    spark = docs.sparkSession
-    ws = Workspace(spark, "mixing")
-    sizes = ws.save(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
+    ws = Workspace(docs.sparkSession, "mixing")
+    sizes = ws.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
     totals = sizes.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
-    found = totals.limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    target = source_targets({r["source"]: r["words"] for r in found}, weights, share, most)
-    plan = [(r["source"], r["words"], float(target[r["source"]]), target[r["source"]] / r["words"] if r["words"] else 0.0) for r in found]
-    plans = small(spark.createDataFrame(plan, "source string, source_size long, target double, ratio double"), len(plan)).alias("s")
+    plan = source_targets(totals, ws, weights, share, most).withColumn("ratio", F.when(F.col("words") > 0, F.col("target") / F.col("words")).otherwise(0.0))
+    plan = ws.save(plan, "plan")
+    sources = plan.count()
+    plans = small(plan.select("source", F.col("words").alias("source_size"), "target", "ratio"), sources).alias("s")
     base = F.least(F.floor("ratio"), F.lit(int(most)))
     left = (
-        sizes.alias("d").join(plans, F.expr("d.source <=> s.source"))
+        _numbered(sizes, block).alias("d").join(plans, F.expr("d.source <=> s.source"))
         .select("doc_id", "d.source", "size", base.cast("long").alias("base"), (F.col("ratio") - base).alias("p"),
-                (F.shiftrightunsigned(F.xxhash64("doc_id", "size", F.lit(seed)), 11) / F.lit(float(2**53))).alias("draw"))
+                (F.shiftrightunsigned(F.xxhash64("doc_id", "size", "copy", F.lit(seed)), 11) / F.lit(float(2**53))).alias("draw"))
     )
-    number = {r["source"]: r["n"] for r in found}
-    done, turn = [], 0
-    while number:
-        counts = [(s, max(1, -(-n // block))) for s, n in number.items()]
-        blocks = small(spark.createDataFrame(counts, "source string, blocks long"), len(counts)).alias("b")
+    done, turn, counts = [], 0, plan.select("source", "n")
+    while True:
+        dealing = ws.save(counts.select("source", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") / block)).alias("blocks")), f"blocks{turn}")
         dealt = (
-            left.alias("l").join(blocks, F.expr("l.source <=> b.source"))
+            left.alias("l").join(small(dealing, sources).alias("b"), F.expr("l.source <=> b.source"))
             .select("doc_id", "l.source", "size", "base", "p", "draw", "blocks",
-                    F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + turn)), "blocks").alias("block"))
+                    F.pmod(F.xxhash64("draw", F.lit(seed + turn)), "blocks").alias("block"))
         )
         kind = "doc_id long, source string, size long, base long, p double, draw double"
         out = ws.save(dealt.groupBy("source", "block").applyInArrow(_decide, kind), f"round{turn}")
         undecided = (F.col("p") > 0) & (F.col("p") < 1)
         done.append(out.where(~undecided))
+        if dealing.where("blocks > 1").isEmpty():
+            break
         left = out.where(undecided)
-        number = {r["source"]: r["n"] for r in left.groupBy("source").agg(F.count("*").alias("n")).collect()} if any(n > 1 for _, n in counts) else {}
+        counts = ws.save(left.groupBy("source").agg(F.count("*").alias("n")), f"left{turn}")
         turn += 1
-    if not done:
-        return sizes.select("doc_id", "source", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("taken"))
     every = done[0]
     for x in done[1:]:
         every = every.unionByName(x)
@@ -166,6 +161,19 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: fl
     return every.alias("d").join(plans, F.expr("d.source <=> s.source")).select("doc_id", "d.source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
+def _numbered(sizes: DataFrame, block: int) -> DataFrame:
+    """Rows doc_id, source, size with a column copy that tells equal rows apart, the same whatever the partitioning.
+
+    A row that stands very often is dealt out in lots of ``block`` before it is unfolded."""
+    equal = sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("c"))
+    lots = equal.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("c") / block) - 1)))
+    lots = lots.withColumn("own", F.least(F.lit(block).cast("long"), F.col("c") - F.col("lot") * block))
+    unfold = lambda df: df.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") - 1))).select("doc_id", "source", "size", (F.col("lot") * block + F.col("i")).alias("copy"))
+    single = lots.where("c = 1").select("doc_id", "source", "size", F.lit(0).cast("long").alias("copy"))
+    few, many = lots.where((F.col("c") > 1) & (F.col("c") <= block)), lots.where(F.col("c") > block)
+    return single.unionByName(unfold(few)).unionByName(unfold(many.repartition(F.xxhash64("doc_id", "size", "lot"))))
+
+
 def take_copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it was taken.  doc_id must be unique in ``docs``."""
     n = mixed.where("copies > 0").select("doc_id", "copies")
