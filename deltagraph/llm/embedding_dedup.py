@@ -6,8 +6,9 @@ radius at which the target recall is reached; that radius is calibrated on pairs
 cell's members meet in pages of bounded size, are compared exactly in double precision, and a page pair returns link counts and
 a spanning forest of its links, never the links one by one.
 
-Vectors are kept in the precision they come in and compared in double precision.  The codebooks are fitted on a bounded sample (``SAMPLE`` vectors by a hash of their class); every vector is indexed and every vector is a query.
-Equal vectors are one class with a multiplicity.  Members and visitors of a hot cell are split into pages, and each member page is
+Vectors are kept in the precision they come in and compared in double precision.  The codebooks are fitted on a bounded sample (``SAMPLE`` vectors by a hash of their class,
+more only where the codebooks, which grow with the root of the number of vectors, need it); every vector is indexed and every vector is a query.
+Equal vectors are one class with a multiplicity and a number of its own; ids, which different vectors may share, only name the components.  Members and visitors of a hot cell are split into pages, and each member page is
 its own join key.
 """
 
@@ -26,8 +27,8 @@ from deltagraph.llm.components import components, local_forest
 
 COSINE = 0.9
 TARGET = 0.97
-#: Vectors that the codebooks are fitted on (expected number), largest codebook, vectors of a page.
-SAMPLE, MOST_CODES, PAGE = 20_000, 1024, 256
+#: Vectors that the codebooks are fitted on (expected number, at least; SPREAD for each codeword), vectors of a page.
+SAMPLE, SPREAD, PAGE = 20_000, 20, 256
 
 
 @dataclass
@@ -159,11 +160,11 @@ def _compare(cosine: float):
 
 def _links_of(classes: DataFrame, n: int, ws: Workspace, cosine: float, target: float) -> DataFrame:
     """FOUND rows of classes (node, mult, vec) of one dimension."""
-    share = min(1.0, SAMPLE / max(1, n))
+    codes = max(2, round(np.sqrt(n) / 2))  # so that a cell has about four vectors, however many there are
+    share = min(1.0, max(SAMPLE, SPREAD * codes) / max(1, n))
     draw = F.shiftrightunsigned(F.xxhash64("node", F.lit(3)), 11) / F.lit(float(2**53))
     sample = classes.where(draw < share).orderBy("node").select("vec").toPandas()["vec"]
     x = _unit(np.stack(sample.to_numpy()).astype(float)) if len(sample) else np.zeros((0, 2))
-    codes = int(np.clip(round(np.sqrt(n) / 2), 2, MOST_CODES))
     sent = ws.spark.sparkContext.broadcast(MultiIndex.fit(x, codes, cosine, target) if len(x) else None)
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +201,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vec: str = "embe
     valid = v.isNotNull() & ~F.coalesce(fine, F.lit(True)) & F.coalesce(F.exists(v, lambda e: e != 0), F.lit(False))
     rows = ws.save(vectors.select(F.col(vec_id).alias("vec_id"), valid.alias("valid"), F.xxhash64(v).alias("h1"), F.hash(v).alias("h2"), F.col(vec).alias("vec")), "rows")
     classes = rows.where("valid").groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.count("*").alias("mult"), F.first("vec").alias("vec"))
-    classes = ws.save(classes.select("h1", "h2", "first", "mult", F.coalesce("first", -1 - F.shiftrightunsigned("h1", 1)).alias("node"), F.size("vec").alias("dim"), "vec"), "classes")
+    classes = ws.save(classes.select("h1", "h2", "first", "mult", F.monotonically_increasing_id().alias("node"), F.size("vec").alias("dim"), "vec"), "classes")
     found = None
     for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect():
         part = _links_of(classes.where(F.col("dim") == r["dim"]), r["n"], ws, cosine, target)
