@@ -24,22 +24,70 @@ from deltagraph.llm.tokens import ALNUM, hash_word, word_lists, words
 #: Phrases that give a label wherever they stand.
 PHRASES = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
 
-#: Customary notices and the labels that they give.
+#: Whole texts of short licences, and the notices that the longer ones prescribe, with the labels that they give.
 TEMPLATES = [
     ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
     documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
-    to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"""),
-    ("mit", "Released under the MIT License"),
+    to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+    Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be
+    included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+    MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+    CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+    SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
     ("apache", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
-    compliance with the License. You may obtain a copy of the License at"""),
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
-    License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"""),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
-    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
-    following conditions are met: Redistributions of source code must retain the above copyright notice"""),
+    compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by
+    applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+    CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under
+    the License."""),
+    ("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License
+    as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+    distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR
+    A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License
+    along with this program. If not, see <https://www.gnu.org/licenses/>."""),
+    ("lgpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License
+    as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+    distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR
+    A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License
+    along with this program. If not, see <https://www.gnu.org/licenses/>."""),
+    ("agpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License
+    as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+    distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR
+    A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License
+    along with this program. If not, see <https://www.gnu.org/licenses/>."""),
+    ("bsd-2", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+    following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+    following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+    disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+    LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
+    HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+    LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+    THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+    THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("bsd-3", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+    following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+    following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+    disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived
+    from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+    LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
+    HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+    LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+    THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+    THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
+    that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS
+    ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE
+    LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+    WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+    SOFTWARE."""),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+    damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+    applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be
+    misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the
+    product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be
+    misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."""),
+    ("mpl", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
+    with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
     ("cc-by", """This work is licensed under a Creative Commons Attribution 4.0 International License"""),
-    ("mpl", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"""),
 ]
 
 #: Words of a match that counts, words between chained matches, and the part of a template that a span must cover.
@@ -130,6 +178,8 @@ class Scanner:
         tokens = [[number[w] for w in t] for t in lists]
         self.labels, self.sizes = [x for x, _ in templates], [len(t) for t in tokens[: len(templates)]]
         self.phrase_labels, self.phrase_sizes = [x for _, x in phrases], [len(t) for t in tokens[len(templates) :]]
+        #: runs of template words below this length can hold neither a phrase nor a match
+        self.shortest = min([min_match, *self.phrase_sizes])
         self.machine = Automaton(tokens[: len(templates)], tokens[len(templates) :])
         self.min_match, self.max_gap, self.min_cover = min_match, max_gap, min_cover
 
@@ -142,7 +192,7 @@ class Scanner:
         begin = np.flatnonzero(known & (cut[:-1] | ~np.concatenate([[False], known[:-1]])))
         after = cut[1:].copy()
         end = np.flatnonzero(known & (after | ~np.concatenate([known[1:], [False]]))) + 1
-        long = end - begin >= 2
+        long = end - begin >= self.shortest
         base, matches = [], []
         phrases, sizes, least = self.machine.phrases, self.phrase_sizes, self.min_match
         for a, b in zip(begin[long].tolist(), end[long].tolist()):
@@ -158,14 +208,14 @@ class Scanner:
         return base, matches
 
     def spans(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """(label, first word, end, covered part) of chains of a document's matches, in order."""
+        """(label, first word, end, covered part) of chains of a document's matches, in order; of overlapping ones that which covers most."""
         open_: dict[int, list[int]] = {}
         done = []
 
         def close(t: int) -> None:
             first, end, _, covered = open_.pop(t)
             if covered / self.sizes[t] >= self.min_cover:
-                done.append((self.labels[t], first, end, covered / self.sizes[t]))
+                done.append((self.labels[t], first, end, covered / self.sizes[t], covered))
 
         for a, b, v in matches:
             for t in {t for t, _ in self.machine.ends[v]}:
@@ -183,7 +233,9 @@ class Scanner:
                 open_[t] = [a, b, ends[0], b - a]
         for t in list(open_):
             close(t)
-        return sorted(done, key=lambda x: (x[1], x[2], x[0]))
+        # licences share passages: where spans overlap, the label that covers the most words stands
+        best = [x for x in done if not any(y[0] != x[0] and y[4] > x[4] and y[1] < x[2] and x[1] < y[2] for y in done)]
+        return sorted((x[:4] for x in best), key=lambda x: (x[1], x[2], x[0]))
 
 
 SPANS = "array<struct<label:string,first:long,end:long,cover:double>>"
