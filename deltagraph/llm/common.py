@@ -25,9 +25,11 @@ def ascii_lower(col):
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster shares (spark.checkpoint.dir).
 
-    Only where that setting is absent (local tests) a temporary folder is used and set."""
+    Only a local session without that setting (tests) gets a temporary folder, which is set there."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="deltagraph-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -88,9 +90,9 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
 FILTER_WORDS = 1 << 17
 
 
-def split_few(df: DataFrame, right: DataFrame, key: str, words: int = FILTER_WORDS) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``df`` that a bit filter of fixed size over the long column ``key`` of ``right`` lets through (all with such a key and a few others), and the rest."""
-    hashed = lambda: F.xxhash64(key)
+def split_few(df: DataFrame, right: DataFrame, key: str | list[str], words: int = FILTER_WORDS) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` that a bit filter of fixed size over the columns ``key`` of ``right`` lets through (all with such a key and a few others), and the rest."""
+    hashed = lambda: F.xxhash64(*([key] if isinstance(key, str) else key))
     word = F.pmod(hashed(), F.lit(words)).alias("_word")
     one = lambda shift: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftrightunsigned(hashed(), shift), F.lit(64)).cast("int"))
     mask = one(32).bitwiseOR(one(48))
@@ -101,8 +103,8 @@ def split_few(df: DataFrame, right: DataFrame, key: str, words: int = FILTER_WOR
     return marked.where(hit).select(*names), marked.where(~hit).select(*names)
 
 
-def join_few(df: DataFrame, right: DataFrame, key: str, how: str = "left", words: int = FILTER_WORDS) -> DataFrame:
-    """``df`` joined ("left", "left_semi" or "left_anti") on the long column ``key`` with a table that concerns few of its rows.
+def join_few(df: DataFrame, right: DataFrame, key: str | list[str], how: str = "left", words: int = FILTER_WORDS) -> DataFrame:
+    """``df`` joined ("left", "left_semi" or "left_anti") on the columns ``key`` with a table that concerns few of its rows.
 
     A bit filter of fixed size over the keys of ``right`` is broadcast; rows that it rules out are passed on as they are, so only the others are
     shuffled.  ``df`` is read twice and should be a plain scan.  If the filter fills up, more rows are shuffled and the result is the same."""
@@ -111,7 +113,7 @@ def join_few(df: DataFrame, right: DataFrame, key: str, how: str = "left", words
     if how == "left_semi":
         return some
     if how == "left":
-        extra = [f for f in right.schema if f.name != key]
+        extra = [f for f in right.schema if f.name not in ([key] if isinstance(key, str) else key)]
         rest = rest.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra])
     return rest.unionByName(some)
 

@@ -6,7 +6,7 @@ equal rank are an LCP interval; an interval of a single place is dropped, so the
 
 A line is deleted if it lies in a run of consecutive lines with at least MIN_WORDS words that also starts earlier in the corpus (by
 doc_id, null last, then by place).  Every such run is the union of its shortest sufficient runs: those that start at one of its
-lines and those that end at one.  Two runs of n lines are equal if both their first and their last 2^j lines have equal rank, with 2^j the largest power
+lines and those that end at one, merged to maximal ones before any line is listed.  Two runs of n lines are equal if both their first and their last 2^j lines have equal rank, with 2^j the largest power
 of two within n, so each run is found by two look-ups in one level.
 
 Ranks are order-preserving numbers of the distinct pairs, aggregated map-side and range-sorted; a line of any frequency is one row
@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deltagraph.llm.common import Workspace, documents, join_few, split_few
@@ -28,7 +28,7 @@ from deltagraph.llm.tokens import SPACED, words
 
 #: A run of lines counts as a repeated passage if it has at least so many words.
 MIN_WORDS = 50
-PLACES = "dk long, id long, pos int, r1 long, r2 long, ahead int, back int"
+PLACES = "d1 long, d2 long, id long, pos int, r1 long, r2 long, ahead int, back int"
 
 
 def _line_ends(buf: np.ndarray, s: int, e: int, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,11 +41,11 @@ def _places(min_words: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            dk, ids = (b.column(c).to_pylist() for c in ("dk", "id"))
+            d1, d2, ids = (b.column(c).to_pylist() for c in ("d1", "d2", "id"))
             for w in words(b.column("text"), SPACED, hashes=False):
                 raw, breaks = memoryview(np.ascontiguousarray(w.buf)), np.flatnonzero(w.buf == 10)
                 valid = b.column("text").slice(w.lo, w.hi - w.lo).is_valid().to_pylist()
-                cols: list[list] = [[], [], [], [], []]
+                cols: list[list] = [[], [], [], [], [], []]
                 digests: list[bytes] = []
                 for i in range(w.hi - w.lo):
                     if not valid[i]:
@@ -57,16 +57,16 @@ def _places(min_words: int):
                     to = np.searchsorted(cum, cum[:-1] + min_words)  # first place with enough words since the line's start
                     since = np.searchsorted(cum, cum[1:] - min_words, "right") - 1
                     row = np.arange(n)
-                    cols[0] += [dk[w.lo + i]] * n
-                    cols[1] += [ids[w.lo + i]] * n
-                    cols[2].append(row)
-                    cols[3].append(np.where(to <= n, to - row, 0))
-                    cols[4].append(np.where(since >= 0, row + 1 - since, 0))
+                    for c, x in enumerate((d1, d2, ids)):
+                        cols[c] += [x[w.lo + i]] * n
+                    cols[3].append(row)
+                    cols[4].append(np.where(to <= n, to - row, 0))
+                    cols[5].append(np.where(since >= 0, row + 1 - since, 0))
                     digests += [xxhash.xxh3_128_digest(raw[x:y]) for x, y in zip(begin.tolist(), end.tolist())]
                 if digests:
                     h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
                     cat = lambda x: pa.array(np.concatenate(x).astype(np.int32))
-                    yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), cat(cols[2]), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), cat(cols[3]), cat(cols[4])], ["dk", "id", "pos", "r1", "r2", "ahead", "back"])
+                    yield pa.record_batch([*[pa.array(x, pa.int64()) for x in cols[:3]], cat(cols[3]), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), cat(cols[4]), cat(cols[5])], ["d1", "d2", "id", "pos", "r1", "r2", "ahead", "back"])
 
     return run
 
@@ -79,71 +79,87 @@ def _ranked(pairs: DataFrame, ws: Workspace, name: str) -> DataFrame:
     return ws.save(ordered.select("r1", "r2", F.monotonically_increasing_id().alias("rank")), name)
 
 
+#: A document is known by 128 bits of its id and text.
+DOC = ["d1", "d2"]
+
+
 def _later_copies(runs: DataFrame, level: DataFrame, span: int, ws: Workspace) -> DataFrame:
-    """dk, start, n of the runs (dk, id, start, n; span <= n < 2 span) that also start earlier."""
-    head = level.select("dk", F.col("pos").alias("start"), F.col("rank").alias("ra"))
-    tail = level.select("dk", F.col("pos").alias("at"), F.col("rank").alias("rb"))
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "dk", "start")
-    named = runs.withColumn("at", F.col("start") + F.col("n") - span).join(head, ["dk", "start"]).join(tail, ["dk", "at"]).select("dk", "start", "n", "ra", "rb", place.alias("place"))
+    """d1, d2, start, n of the runs (d1, d2, id, start, n; span <= n < 2 span) that also start earlier."""
+    head = level.select(*DOC, F.col("pos").alias("start"), F.col("rank").alias("ra"))
+    tail = level.select(*DOC, F.col("pos").alias("at"), F.col("rank").alias("rb"))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", *DOC, "start")
+    named = runs.withColumn("at", F.col("start") + F.col("n") - span).join(head, [*DOC, "start"]).join(tail, [*DOC, "at"]).select(*DOC, "start", "n", "ra", "rb", place.alias("place"))
     # stored, so that the join back has an exchange on either side and a hot run can be split
     first = ws.save(named.groupBy("n", "ra", "rb").agg(F.min("place").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), f"first{span}")
-    return named.join(first, ["n", "ra", "rb"]).where(F.col("first") < F.col("place")).select("dk", "start", "n")
+    return named.join(first, ["n", "ra", "rb"]).where(F.col("first") < F.col("place")).select(*DOC, "start", "n")
 
 
 def _one_of_each(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """One row for each dk; only rows whose dk may repeat are shuffled, reduced map-side."""
-    repeated = ws.save(docs.groupBy("dk").agg(F.count("*").alias("c")).where("c > 1").select("dk"), "repeated")
+    """One row for each document; only rows that may repeat are shuffled, reduced map-side."""
+    repeated = ws.save(docs.groupBy(*DOC).agg(F.count("*").alias("c")).where("c > 1").select(*DOC), "repeated")
     if repeated.isEmpty():
         return docs
-    some, rest = split_few(docs, repeated, "dk")
-    return rest.unionByName(some.dropDuplicates(["dk"]))
+    some, rest = split_few(docs, repeated, DOC)
+    return rest.unionByName(some.dropDuplicates(DOC))
 
 
 def later_copies(docs: DataFrame, ws: Workspace, min_words: int = MIN_WORDS) -> DataFrame:
-    """dk, start, n: line runs to delete, for docs with dk, id, text.  Rows with one dk are one document, so that no place stands twice in the joins."""
-    docs = _one_of_each(docs.select("dk", "id", "text"), ws)
+    """d1, d2, start, n: line runs to delete, for docs with d1, d2, id, text.  Rows with equal d1, d2 are one document, so that no place stands twice in the joins."""
+    docs = _one_of_each(docs.select(*DOC, "id", "text"), ws)
     places = ws.save(docs.mapInArrow(_places(min_words), PLACES), "places", rows=500)
     named = _ranked(places, ws, "rank1")
-    level1 = ws.save(places.join(named, ["r1", "r2"]).select("dk", "id", "pos", "rank", "ahead", "back"), "level1")
+    level1 = ws.save(places.join(named, ["r1", "r2"]).select(*DOC, "id", "pos", "rank", "ahead", "back"), "level1")
     ws.drop(places, named)
-    runs = level1.where("ahead > 0").select("dk", "id", F.col("pos").alias("start"), F.col("ahead").alias("n"))
-    runs = runs.unionByName(level1.where("back > 0").select("dk", "id", (F.col("pos") + 1 - F.col("back")).alias("start"), F.col("back").alias("n")))
+    runs = level1.where("ahead > 0").select(*DOC, "id", F.col("pos").alias("start"), F.col("ahead").alias("n"))
+    runs = runs.unionByName(level1.where("back > 0").select(*DOC, "id", (F.col("pos") + 1 - F.col("back")).alias("start"), F.col("back").alias("n")))
     longest = runs.agg(F.max("n").alias("n")).first()["n"] or 0
-    found, level, span = None, level1.select("dk", "pos", "rank"), 1
+    found, level, span = None, level1.select(*DOC, "pos", "rank"), 1
     while span <= longest:
         own = _later_copies(runs.where((F.col("n") >= span) & (F.col("n") < 2 * span)), level, span, ws)
         own = ws.save(own, f"copies{span}")
         found = own if found is None else found.unionByName(own)
         if 2 * span > longest:
             break
-        ahead = level.select("dk", (F.col("pos") - span).alias("pos"), F.col("rank").alias("r2"))
-        pairs = ws.save(level.withColumnRenamed("rank", "r1").join(ahead, ["dk", "pos"]), f"pairs{2 * span}")
-        level = ws.save(pairs.join(_ranked(pairs, ws, f"rank{2 * span}"), ["r1", "r2"]).select("dk", "pos", "rank"), f"level{2 * span}")
+        ahead = level.select(*DOC, (F.col("pos") - span).alias("pos"), F.col("rank").alias("r2"))
+        pairs = ws.save(level.withColumnRenamed("rank", "r1").join(ahead, [*DOC, "pos"]), f"pairs{2 * span}")
+        level = ws.save(pairs.join(_ranked(pairs, ws, f"rank{2 * span}"), ["r1", "r2"]).select(*DOC, "pos", "rank"), f"level{2 * span}")
         ws.drop(pairs)
         if level.isEmpty():
             break
         span *= 2
-    return found if found is not None else runs.select("dk", "start", "n").where("false")
+    return found if found is not None else runs.select(*DOC, "start", "n").where("false")
+
+
+def maximal_runs(copies: DataFrame) -> DataFrame:
+    """d1, d2, start, end: what each run adds to those that start before it, so that overlapping runs make up maximal ones and every line stands once."""
+    earlier = Window.partitionBy(*DOC).orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("start") + F.col("n")
+    start = F.greatest(F.col("start"), F.coalesce(F.max(end).over(earlier), F.lit(0)))
+    return copies.select(*DOC, start.alias("start"), end.alias("end")).where("start < end")
 
 
 def delete_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns of ``docs``, with the later copies of repeated line runs deleted from the text, plus n_lines and n_removed.
 
     Lines end at line feeds and are compared byte by byte; a text without one is a single line, a null text has none and stays null.  A text whose lines all
-    go becomes empty.  Rows that repeat with the same id and text are one document and are treated alike."""
+    go becomes empty.  Rows that repeat with the same id and text are one document and are treated alike.  Columns may have any name; one called
+    n_lines or n_removed gives way to the result; an empty table gives an empty one."""
     ws = Workspace(docs.sparkSession, "lines")
-    keyed = docs.withColumn("_dk", F.xxhash64(doc_id, text))
-    copies = later_copies(keyed.select(F.col("_dk").alias("dk"), F.col(doc_id).alias("id"), F.col(text).alias("text")), ws, min_words)
-    places = copies.select("dk", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct()
-    gone = ws.save(places.groupBy(F.col("dk").alias("_dk")).agg(F.collect_list("pos").alias("_gone")), "gone")
+    id_, body = F.col(doc_id), F.col(text)
+    # the columns travel under names of their own
+    others = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    keyed = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(others)], id_.cast("long").alias("id"), body.alias("text"), F.xxhash64(id_, body).alias("d1"), F.xxhash64(F.lit(1), body, id_).alias("d2"))
+    copies = later_copies(keyed, ws, min_words)
+    places = maximal_runs(copies).select(*DOC, F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
+    gone = ws.save(places.groupBy(*DOC).agg(F.collect_list("pos").alias("gone")), "gone")
     # a one-element array binds the split text to a variable, so that it is split once
-    bound = F.array(F.struct(F.split(text, "\n", -1).alias("l"), F.col("_gone").alias("g")))
+    bound = F.array(F.struct(F.split("text", "\n", -1).alias("l"), F.col("gone").alias("g")))
     rest = F.transform(bound, lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x["l"]) - 1), x["g"]), lambda i: F.get(x["l"], i)))
-    new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.get(rest, F.lit(0)), "\n"))
-    lines = F.coalesce(F.regexp_count(text, F.lit("\n")) + 1, F.lit(0)).cast("long")
-    removed = F.coalesce(F.array_size("_gone"), F.lit(0)).cast("long")
-    names = [F.col(c) if c != text else new.alias(text) for c in docs.columns]
-    return join_few(keyed, gone, "_dk").select(*names, lines.alias("n_lines"), removed.alias("n_removed"))
+    new = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.get(rest, F.lit(0)), "\n"))
+    lines = F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0)).cast("long")
+    removed = F.coalesce(F.array_size("gone"), F.lit(0)).cast("long")
+    names = [(new if c == text else F.col(f"_c{i}")).alias(c) for i, c in enumerate(others)]
+    return join_few(keyed, gone, DOC).select(*names, lines.alias("n_lines"), removed.alias("n_removed"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

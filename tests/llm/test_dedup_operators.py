@@ -84,10 +84,10 @@ def test_line_dedup_of_awkward_rows(spark, awkward, empty):
 
 def test_repeated_rows_of_many_lines_stand_once(spark):
     lines = "\n".join(f"w{k}" for k in range(12))
-    docs = spark.createDataFrame([(i, i, lines) for i in (1, 2) for _ in range(3)], "dk long, id long, text string")
+    docs = spark.createDataFrame([(i, 0, i, lines) for i in (1, 2) for _ in range(3)], "d1 long, d2 long, id long, text string")
     found = line_dedup.later_copies(docs, Workspace(spark, "t"), 4).collect()
     # a run can be found both from its first and from its last line
-    assert {(r["dk"], r["n"]) for r in found} == {(2, 4)} and len(found) <= 2 * len(set(found))
+    assert {(r["d1"], r["n"]) for r in found} == {(2, 4)} and len(found) <= 2 * len(set(found))
     text = "\n".join(f"w{k} v{k}" for k in range(60))
     other = "\n".join(f"u{k}" for k in range(70))
     rows = [(1, text)] * 10 + [(2, other)] + [(3, text)] * 2 + [(4, other + "\nend")] + [(None, text)] * 4 + [(None, "end")] * 2
@@ -97,6 +97,29 @@ def test_repeated_rows_of_many_lines_stand_once(spark):
     assert collections.Counter((r["doc_id"], r["text"]) for r in got) == collections.Counter((i, want[i, t]) for i, t in rows)
 
 
+def test_mostly_blank_lines_are_listed_once(spark):
+    """Runs over thousands of blank lines overlap; what is listed stays linear."""
+    text = "\n".join(f"w{k}" + "\n" * 20 for k in range(100))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "x")], "doc_id long, text string")
+    keyed = docs.selectExpr("doc_id AS d1", "0L AS d2", "doc_id AS id", "text")
+    copies = line_dedup.later_copies(keyed, Workspace(spark, "t"))
+    listed = line_dedup.maximal_runs(copies).collect()
+    n = text.count("\n") + 1
+    assert sum(r["end"] - r["start"] for r in listed) <= n and {r["d1"] for r in listed} == {2}
+    got = {r["doc_id"]: r for r in line_dedup.delete_repeats(docs).collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["n_lines"] == n and got[3]["text"] == "x"
+    # the blank lines at the end close runs that begin 50 words before them
+    assert [got[i]["text"] for i in (1, 2)] == [text, ""] and got[2]["n_removed"] == n
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    text = "\n".join(f"w{k} v{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text, 5, 6, 7, 8, 9), (2, text, 1, 2, 3, 4, 5)], "doc_id long, text string, gone long, d1 long, _c0 long, n_lines long, id long")
+    got = line_dedup.delete_repeats(docs)
+    assert got.columns == ["doc_id", "text", "gone", "d1", "_c0", "id", "n_lines", "n_removed"]
+    assert sorted(tuple(r) for r in got.collect()) == [(1, text, 5, 6, 7, 9, 60, 0), (2, "", 1, 2, 3, 5, 60, 60)]
+
+
 # --- n-gram join
 
 
@@ -204,6 +227,12 @@ def test_awkward_vectors(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_different_vectors_may_share_an_id(spark):
+    rows = [(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (7, [1.0, 0.01, 0.0]), (None, [0.0, 0.0, 1.0])]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((str(r["vec_id"]), r["n_links"], r["component_id"]) for r in got) == [("5", 0, 5), ("5", 1, 5), ("7", 1, 5), ("None", 0, None)]
+
+
 # --- decontamination
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deltagraph.llm import language_id, license_scan, mixing, quality, queries, url_filter, warc
-from deltagraph.llm.common import join_few
+from deltagraph.llm.common import Workspace, join_few
 from tests.llm.conftest import ROOT_TABLES, plain_words
 
 needs_tables = pytest.mark.skipif(not os.path.isdir(ROOT_TABLES), reason="no test tables")
@@ -39,10 +39,53 @@ def test_join_few(spark):
 # --- mixing
 
 
-def test_targets_fill_up_by_weight():
-    t = mixing.source_targets({"b": 100, "a": 10, None: 100})
+def brute_targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    target, left, free = {}, share * sum(sizes.values()), list(order)
+    while free:
+        total = sum(weight[s] for s in free)
+        over = [s for s in free if left * weight[s] / total > most * sizes[s]]
+        if not over:
+            return target | {s: left * weight[s] / total for s in free}
+        target |= {s: most * float(sizes[s]) for s in over}
+        left = share * sum(sizes.values()) - sum(target.values())
+        free = [s for s in free if s not in target]
+    return target
+
+
+def targets(spark, sizes):
+    rows = [(s, n, 1) for s, n in sizes.items()]
+    return {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(rows, "source string, words long, n long"), Workspace(spark, "t")).collect()}
+
+
+def test_targets_fill_up_by_weight(spark):
+    t = targets(spark, {"b": 100, "a": 10, None: 100})
     assert t["a"] == 20 and sum(t.values()) == pytest.approx(315) and t["b"] / t[None] == pytest.approx(1 / 2)
-    assert mixing.source_targets({}) == {} and mixing.source_targets({"a": 0}) == {"a": 0.0}
+    assert targets(spark, {}) == {} and targets(spark, {"a": 0}) == {"a": 0.0}
+    rng = np.random.default_rng(4)
+    sizes = {f"{'zéA漢'[i % 4]}{i}": int(n) for i, n in enumerate(rng.pareto(1, 60) * 40)} | {None: 3, "": 0}
+    assert targets(spark, sizes) == pytest.approx(brute_targets(sizes))
+
+
+def test_many_sources(spark):
+    """A source for each document."""
+    docs = spark.range(6_000).selectExpr("id AS doc_id", "'a b c d' AS text", "concat('s', id) AS source")
+    got = mixing.mix_sources(docs)
+    r = got.agg(F.count("*").alias("n"), F.sum("taken").alias("t"), F.max("taken").alias("most")).first()
+    assert r["n"] == 6_000 and r["most"] <= 8 and abs(r["t"] - 1.5 * 24_000) <= 0.25 * 24_000
+
+
+def test_equal_rows_are_dealt_over_blocks(spark):
+    rows = [(None, "a b c", "s")] * 500 + [(7, "a b", "s")] * 40 + [(8, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [sorted(map(str, mixing.mix_sources(docs.repartition(n), block=32).select("doc_id", "size", "target", "taken").collect())) for n in (1, 5)]
+    got = mixing.mix_sources(docs, block=32).toPandas()
+    assert runs[0] == runs[1] and len(got) == 541 and (got.taken <= 2 * got["size"]).all()
+    own = got[got.source == "s"]
+    assert abs(own.taken.sum() - own.target.iloc[0]) <= 3
+    units = mixing._numbered(docs.selectExpr("doc_id", "source", "1L AS size"), 32)
+    assert units.count() == 541 and units.distinct().count() == 541
 
 
 def test_flight_keeps_words_and_documents():
@@ -109,7 +152,7 @@ def test_missing_segment_is_an_error(spark, tmp_path):
 def test_longest_rule_wins_and_odd_urls(spark):
     urls = [("http://WWW.Example.com/en/1", "www.example.com/en/", "allow"), ("https://m.example.com/en/", "example.com/en/", "block"), ("http://notexample.com/en/", "com/", "allow"),
             ("http://x.com", None, "allow"), ("http://a.net/es/x?/fr/", "net/es/", "block"), ("ftp://b.net/it/", None, "allow"), (None, None, "allow"), ("", None, "allow"), ("nothing", None, "allow"),
-            ("http://spam-farm.example.org/x", None, "block"), ("x://a.b.c.d.net/fr/" + "y" * 5000, "net/fr/", "block")]
+            ("http://ads.DoubleClick.net/x", None, "block"), ("http://doubleclick.net", None, "block"), ("x://a.b.c.d.net/fr/" + "y" * 5000, "net/fr/", "block")]
     df = spark.createDataFrame([(u, 1) for u, _, _ in urls] + [(urls[0][0], 1)], "url string, rule int")
     rules, own = url_filter.rule_table(spark, url_filter.RULES), url_filter.rule_table(spark, url_filter.METHOD_BLOCKS)
     got = url_filter.filter_urls(df, "url", rules, extra=own).collect()
@@ -118,6 +161,20 @@ def test_longest_rule_wins_and_odd_urls(spark):
     assert all((r["url_rule"], r["url_verdict"]) == want[r["url"]] for r in got)
     assert {r["url_verdict"] for r in url_filter.filter_urls(df, "url", rules.limit(0)).collect()} == {"allow"}
     assert url_filter.filter_urls(df.limit(0), "url", rules).count() == 0
+    clash = df.selectExpr("url", "1 AS won", "2 AS url_rule", "3 AS host", "4 AS keys", "5 AS block", "6 AS _c0")
+    out = url_filter.filter_urls(clash, "url", rules, extra=own)
+    assert out.columns == ["url", "won", "host", "keys", "block", "_c0", *url_filter.RESULT]
+    assert {(r["won"], r["host"], r["keys"], r["block"], r["_c0"]) for r in out.collect()} == {(1, 3, 4, 5, 6)} and out.count() == len(urls) + 1
+
+
+def test_a_full_filter_changes_no_verdict(spark, monkeypatch):
+    hosts = [f"h{i}.org" for i in range(300)]
+    rules = spark.createDataFrame([(h, f"/{i % 7}/", "block") for i, h in enumerate(hosts)], "host string, path string, action string")
+    urls = spark.range(3000).selectExpr("id", "concat('http://w.h', id % 600, '.org/', id % 5, '/x') AS url")
+    want = {i: "block" if i % 600 < 300 and (i % 600) % 7 == i % 5 else "allow" for i in range(3000)}
+    for most in (1 << 17, 1):
+        monkeypatch.setattr(url_filter, "MOST_BLOCKS", most)
+        assert {r["id"]: r["url_verdict"] for r in url_filter.filter_urls(urls, "url", rules).collect()} == want
 
 
 # --- licences
@@ -142,6 +199,10 @@ def test_edited_templates_are_covered(spark):
         assert label in r["labels"] and r["score"] >= 0.6
     (r,) = license_scan.scan(spark.createDataFrame([("the software is free of charge to any person who may use it",)], "text string"), ["text"]).collect()
     assert r["labels"] == [] and 0 <= r["score"] < 1
+    (r,) = license_scan.scan(spark.createDataFrame([("one zlib two",)], "text string"), ["text"], license_scan.Scanner(phrases=[("zlib", "z")])).collect()
+    assert (r["n_base"], r["first_word"], r["base_labels"]) == (1, 1, ["z"])
+    only = lambda label: license_scan.scan(spark.createDataFrame([(dict(license_scan.TEMPLATES)[label],)], "text string"), ["text"]).first()["labels"]
+    assert [only(x) for x in ("lgpl", "agpl", "bsd-2", "bsd-3", "mit")] == [["lgpl"], ["agpl"], ["bsd-2"], ["bsd-3"], ["mit"]]
 
 
 def test_matching_statistics_by_brute_force():
