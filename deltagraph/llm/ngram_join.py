@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltagraph.llm.common import Workspace, carrying, documents, join_few
+from deltagraph.llm.common import Workspace, carrying, documents, join_few, small
 from deltagraph.llm.components import components
 from deltagraph.llm.tokens import SPACED, mix, ngram_hashes, words
 
@@ -300,22 +300,31 @@ def _survivors(num: int, den: int):
 
 
 def _candidates(members: DataFrame, num: int, den: int, within: bool, ws: Workspace, name: str) -> tuple[DataFrame, DataFrame]:
-    """(pairs, pages): a, b, again for the pages of the members (key, node, n, vec, root[, body]) of each key, and the pages; ``within``: only of pages with themselves."""
+    """(pairs, pages): a, b, again for the pages of the members (key, node, n, vec, root[, body]) of each key, and the pages; ``within``: only of pages with themselves.
+
+    What is linked already lies in pages of its own, which needn't meet each other."""
     carried = [c for c in ("node", "n", "vec", "root", "body") if c in members.columns]
-    pages = F.ceil(F.col("c") / PAGE) if "body" not in carried else F.greatest(F.ceil(F.col("c") / PAGE), F.ceil(F.col("shingles") / BODY))
-    size = members.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("shingles"))
-    hot = ws.save(size.select("key", pages.alias("of")).where("of > 1"), "hot")
+    number = lambda c, shingles: F.ceil(F.col(c) / PAGE) if "body" not in carried else F.greatest(F.ceil(F.col(c) / PAGE), F.ceil(F.col(shingles) / BODY))
+    rooted = members.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    size = rooted.groupBy("key").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
+    hot = ws.save(size.select("key", number("c", "s").alias("of")).where("of > 1"), "hot")
+    large = ws.save(rooted.select("key", "root", number("c", "s").alias("own")).where("own > 1"), "large")
     of = F.coalesce(F.col("of"), F.lit(1).cast("long"))
-    dealt = members.join(hot, "key", "left").withColumn("of", of).withColumn("page", F.pmod(F.xxhash64("node"), F.col("of")))
-    pages = ws.save(dealt.groupBy("key", "page", "of").agg(F.collect_list(F.struct(*carried)).alias("points")), name)
+    place = F.pmod(F.xxhash64("node"), F.coalesce("own", of))
+    dealt = members.join(small(hot, hot.count()), "key", "left").join(small(large, large.count()), ["key", "root"], "left")
+    dealt = dealt.withColumn("page", F.when(F.col("own").isNull(), place).otherwise(F.xxhash64("root", place))).withColumn("of", of)
+    roots = [F.min("root").alias("lo"), F.max("root").alias("hi")]
+    pages = ws.save(dealt.groupBy("key", "page", "of").agg(F.collect_list(F.struct(*carried)).alias("points"), *roots), name)
     schema, run = "a long, b long, again long", _survivors(num, den)
     points = pages.schema["points"].dataType
-    own = pages.select("key", "of", F.col("points").alias("one"), F.lit(None).cast(points).alias("two"))
+    own = pages.where("lo <> hi").select("key", "of", F.col("points").alias("one"), F.lit(None).cast(points).alias("two"))
     found = ws.save(own.mapInArrow(run, schema), f"{name}-own", rows=128 if "body" not in carried else 4)
     if not within:
         several = pages.where("of > 1")
-        left = several.where("page < of - 1").withColumn("with", F.explode(F.sequence(F.col("page") + 1, F.col("of") - 1)))
-        both = left.select("key", "of", F.col("with").alias("page"), F.col("points").alias("one")).join(several.select("key", "page", F.col("points").alias("two")), ["key", "page"])
+        ends = several.select("key", "page", "lo", "hi")
+        pairs = ends.join(ends.withColumnsRenamed({"page": "with", "lo": "lo2", "hi": "hi2"}), "key").where("page < with and (lo <> hi or lo2 <> hi2 or lo <> lo2)").select("key", "page", "with")
+        left = pairs.join(several.select("key", "page", "of", F.col("points").alias("one")), ["key", "page"]).withColumn("page", F.col("with"))
+        both = left.join(several.select("key", "page", F.col("points").alias("two")), ["key", "page"])
         # rows are large where a key has several pages, so few of them make a batch
         found = found.unionByName(ws.save(both.select("key", "of", "one", "two").mapInArrow(run, schema), f"{name}-cross", rows=4))
     return found, pages
@@ -389,20 +398,24 @@ def _doc_key(text: str):
     return F.xxhash64(F.col(text))
 
 
-def _trees(full: DataFrame, points: DataFrame, ws: Workspace) -> DataFrame:
-    """key, node, n, vec: the sets of each key that several sets have; keys with the same sets are one."""
+def _trees(full: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(members, points): key, node, n, vec of the sets of each key that several sets have (keys with the same sets are one), and node, f1, f2, n, vec, fine, doc_key of these sets."""
     keyed = full.select("f1", "f2", F.explode("keys").alias("key"))
     shared = ws.save(keyed.groupBy("key").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("key"), "shared")
     one_each = ws.save(join_few(keyed, shared, "key", "left_semi", KEY_WORDS).select("key", "f1", "f2").distinct(), "entries")
     same = [F.count("*").alias("c"), F.min("f1").alias("lo"), F.max("f1").alias("hi"), F.bit_xor(F.xxhash64("f1", "f2")).alias("x"), F.bit_xor(F.xxhash64("f2", "f1")).alias("y")]
     chosen = one_each.groupBy("key").agg(*same).groupBy("c", "lo", "hi", "x", "y").agg(F.min("key").alias("key"))
-    chosen = ws.save(chosen.select("key"), "chosen-keys")
-    members = one_each.join(chosen, "key", "left_semi").join(points.select("f1", "f2", "node", "n", "vec"), ["f1", "f2"])
-    return ws.save(members.select("key", "node", "n", "vec"), "members")
+    entries = ws.save(one_each.join(ws.save(chosen.select("key"), "chosen-keys"), "key", "left_semi"), "tree-entries")
+    # only sets of trees need points, the others aren't shuffled
+    some = ws.save(entries.select("f1", "f2").distinct(), "tree-sets")
+    points = join_few(full.select("f1", "f2", "n", "vec", "fine", "doc_key"), some, ["f1", "f2"], "left_semi", KEY_WORDS)
+    points = points.groupBy("f1", "f2").agg(*[F.first(c).alias(c) for c in ("n", "vec", "fine")], F.min("doc_key").alias("doc_key"))
+    points = ws.save(points.withColumn("node", F.monotonically_increasing_id()), "points")
+    return ws.save(entries.join(points.select("f1", "f2", "node", "n", "vec"), ["f1", "f2"]).select("key", "node", "n", "vec"), "members"), points
 
 
-def _links(members: DataFrame, sets: _Sets, num: int, den: int, ws: Workspace) -> DataFrame | None:
-    """node, root of the linked classes; None without any."""
+def _links(members: DataFrame, sets: _Sets, num: int, den: int, ws: Workspace) -> DataFrame:
+    """node, root of the linked classes."""
     found, pages = _candidates(members.withColumn("root", F.col("node")), num, den, True, ws, "pages")
     links = sets.linked(found.where("a is not null").select("a", "b").distinct(), num, den)
     rest = ws.save(found.where("again is not null").select(F.col("again").alias("key")).unionByName(pages.where("of > 1").select("key")).distinct(), "rest")
@@ -458,13 +471,15 @@ def similar_groups(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", tex
     source = docs.select(*own, _doc_key(text).alias("doc_key"), text)
     every = ws.save(source.mapInArrow(build, f"{kept}, doc_key long, {SETS}"), "sets")
     full = every.where("n > 0")
-    of_class = [F.min("_id").alias("first"), F.min("doc_key").alias("doc_key"), *[F.first(c).alias(c) for c in ("n", "vec", "fine")]]
-    points = ws.save(full.groupBy("f1", "f2").agg(*of_class).withColumn("node", F.monotonically_increasing_id()), "points")
-    roots = _links(_trees(full, points, ws), _Sets(docs, text, points, k, ws), num, den, ws)
-    ids = points.select("node", "f1", "f2", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = ws.save(ids, "ids")
-    least = ws.save(ids.groupBy("root").agg(F.min("first").alias("component")), "least")
-    named = ws.save(ids.join(least, "root").select("f1", "f2", "component"), "named")
+    members, points = _trees(full, ws)
+    roots = _links(members, _Sets(docs, text, points, k, ws), num, den, ws)
+    rooted = ws.save(points.select("node", "f1", "f2").join(roots, "node").select("f1", "f2", "root"), "rooted")
+    classes = full.groupBy("f1", "f2").agg(F.min("_id").alias("first"))
+    ids = ws.save(classes.join(small(rooted, rooted.count()), ["f1", "f2"], "left"), "ids")
+    linked = ids.where("root is not null")
+    least = ws.save(linked.groupBy("root").agg(F.min("first").alias("component")), "least")
+    named = linked.join(least, "root").select("f1", "f2", "component").unionByName(ids.where("root is null").select("f1", "f2", F.col("first").alias("component")))
+    named = ws.save(named, "named")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_id"))
     return every.select(*own, "n", "f1", "f2").join(named, ["f1", "f2"], "left").select(*keep, F.col("n").alias("n_shingles"), component.alias("component_id"))
 
