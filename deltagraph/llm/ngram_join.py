@@ -15,7 +15,7 @@ the size of a group of copies:
 
 1. Within pages: few survivors are given as they are; of many, a spanning forest with the best bounds first.  They are verified and linked.
 2. Between and within pages of the trees that aren't settled: only pairs of sets that aren't linked yet, again as they are or as a forest over what
-   is linked.  This is done ``ROUNDS`` times.
+   is linked (``ROUNDS`` times; more rounds find few links, see step 3).
 3. Trees that still have more pairs than that (sets just below the limit, many times over) are verified in place: the pages carry the sets
    themselves, and give the links of a spanning forest.
 
@@ -41,7 +41,7 @@ BITS, MOST_BITS, CROWD = 6, 12, 8
 #: Counters behind a part's signature, points of a tree node and of a page, growth of size classes.
 COUNTERS, NODE, PAGE, GROWTH = 1 << 20, 16, 256, 1.4
 #: A page pair with more survivors a point than this gives a forest; rounds of forests; shingles of a page that carries sets.
-DENSE, ROUNDS, BODY = 2, 2, 1 << 18
+DENSE, ROUNDS, BODY = 2, 1, 1 << 18
 #: Words of the filters that pick the texts of sets to verify, and shared keys (fixed sizes, whatever the input).
 FILTER_WORDS, KEY_WORDS = 1 << 17, 1 << 19
 #: Elements compared at once.
