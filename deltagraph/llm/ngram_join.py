@@ -6,9 +6,11 @@ and below two boxes at most that of the upper corners; the gaps between two boxe
 rules out is compared by finer points, with one to four shingles a group, and then verified on the sets themselves.
 
 The directory over the trees makes this distributed without loss.  Sets that link differ in at most r shingles, so if the groups are dealt
-into r + 1 + 2e parts, at least 1 + 2e parts have equal counts; each set leaves out its e thinnest parts, and one common part remains.  The
-signature of a part's counts is the key of a tree, and only sets under one key are compared; keys with the same sets are one tree.  r follows the set size, hence
-size classes; a set also enters the next class where a larger partner may be.
+into r + 1 + 2e parts, at least 1 + 2e parts have equal counts; a set with v <= 2e empty parts leaves these out and its e - ceil(v / 2) thinnest others, and one
+common part remains: of two such sets at most min(v, w) + 2e - ceil(v / 2) - ceil(w / 2) <= 2e equal parts are left out.  An empty part would be a key of a share of
+all sets, whose pages all meet; so a set with more of them gives its other parts and is dealt anew, by another hash, as are all that it may lack a key with.  Only
+what has too many in all ``DEALS`` keeps some.  The signature of a part's counts is the key of a tree, and only sets under one key are compared; keys with
+the same sets are one tree.  r follows the set size, hence size classes; a set also enters the next class where a larger partner may be.
 
 Equal sets are one class before all this.  A tree has pages of bounded size, which are joined pair by pair.  What a page pair gives is linear in its points, whatever
 the size of a group of copies:
@@ -38,8 +40,8 @@ from deltagraph.llm.tokens import SPACED, mix, ngram_hashes, words
 
 #: log2 of the fewest and most coordinates of a tree's point (even numbers), shingles of a coordinate between them.
 BITS, MOST_BITS, CROWD = 6, 12, 8
-#: Counters behind a part's signature, points of a tree node and of a page, growth of size classes.
-COUNTERS, NODE, PAGE, GROWTH = 1 << 20, 16, 256, 1.4
+#: Counters behind a part's signature, points of a tree node and of a page, growth of size classes, deals of a set's groups into parts.
+COUNTERS, NODE, PAGE, GROWTH, DEALS = 1 << 20, 16, 256, 1.4, 4
 #: A page pair with more survivors a point than this gives a forest; rounds of forests; shingles of a page that carries sets.
 DENSE, ROUNDS, BODY = 2, 1, 1 << 18
 #: Words of the filters that pick the texts of sets to verify, and shared keys (fixed sizes, whatever the input).
@@ -62,31 +64,42 @@ def size_classes(n: int, num: int, den: int) -> list[tuple[int, int]]:
 
 
 def parts_of(end: int, num: int, den: int) -> tuple[int, int]:
-    """Number of parts for sets below ``end``, and how many of them a set leaves out; (1, 0) if only equal sets can link."""
+    """Number of parts for sets below ``end``, and how many of them a set without empty ones leaves out; (1, 0) if only equal sets can link."""
     most = 2 * (end - 1) * (den - num) // (den + num)  # largest symmetric difference
     if most < 1:
         return 1, 0
-    spare = 2 + most // 16
+    spare = 2 + most // 8
     return most + 1 + 2 * spare, spare
 
 
 def set_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """Signatures of a set's parts in all its size classes; s: sorted distinct hashes."""
     out = []
-    value = mix(s & np.uint64(COUNTERS - 1))
-    high = s >> np.uint64(32)
-    for lo, hi in size_classes(len(s), num, den):
-        m, spare = parts_of(hi, num, den)
-        if m == 1:
-            continue
-        part = ((high * np.uint64(m)) >> np.uint64(32)).astype(np.int64)  # ascending, as s is
-        count = np.bincount(part, minlength=m)
-        total = np.zeros(m, np.uint64)
-        used = np.flatnonzero(count)
-        total[used] = np.add.reduceat(value, np.searchsorted(part, used))
-        kept = np.argsort(count, kind="stable")[spare:]
-        seed = mix(np.array([lo], np.uint64) << np.uint64(32))[0]
-        out.append(mix(total[kept] + mix(kept.astype(np.uint64) + seed)))
+    classes = [(lo, *parts_of(hi, num, den)) for lo, hi in size_classes(len(s), num, den)]
+    classes = [c for c in classes if c[1] > 1]
+    for deal in range(DEALS):
+        if not classes:
+            break
+        own = np.sort(mix(s + np.uint64(deal))) if deal else s
+        value, high, again = mix(own & np.uint64(COUNTERS - 1)), own >> np.uint64(32), []
+        for lo, m, spare in classes:
+            part = ((high * np.uint64(m)) >> np.uint64(32)).astype(np.int64)  # ascending, as the set is
+            count = np.bincount(part, minlength=m)
+            total = np.zeros(m, np.uint64)
+            used = np.flatnonzero(count)
+            total[used] = np.add.reduceat(value, np.searchsorted(part, used))
+            empty = m - len(used)
+            if empty <= 2 * spare:
+                left_out = empty + spare - -(-empty // 2)
+            elif deal < DEALS - 1:
+                left_out = empty
+                again.append((lo, m, spare))
+            else:
+                left_out = spare
+            kept = np.argsort(count, kind="stable")[left_out:]
+            seed = mix(np.array([lo], np.uint64) << np.uint64(32) | np.uint64(deal))[0]
+            out.append(mix(total[kept] + mix(kept.astype(np.uint64) + seed)))
+        classes = again
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 

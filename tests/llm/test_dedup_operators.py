@@ -178,6 +178,27 @@ def test_linked_sets_share_a_key_and_pass_the_bound(seed, common, extra, limit):
         assert ngram_join.fine_bound(ngram_join.fine_point(a), ngram_join.fine_point(b)) >= ngram_join.needed(len(a), len(b), num, den)
 
 
+def test_different_sets_share_no_key_of_an_empty_part():
+    rng = np.random.default_rng(8)
+    for n, num in ((250, 80), (25, 80), (120, 90)):
+        held = collections.Counter(k for _ in range(400) for k in set(ngram_join.set_keys(np.unique(rng.integers(0, 2**64, n, np.uint64)), num, 100).tolist()))
+        assert max(held.values()) <= 4
+
+
+@pytest.mark.parametrize("deals", [1, 2, 4])
+def test_sets_at_the_limit_share_a_key(monkeypatch, deals):
+    monkeypatch.setattr(ngram_join, "DEALS", deals)
+    rng = np.random.default_rng(deals)
+    for turn in range(1500):
+        num, both = (80, 90)[turn % 2], int(rng.integers(4, 60))
+        apart = both * (100 - num) // num  # the most shingles that one of two linked sets may lack
+        cut = int(rng.integers(0, apart + 1))
+        s = rng.integers(0, 2**64, both + apart, np.uint64)
+        a, b = np.sort(s[: both + cut]), np.sort(np.delete(s, np.s_[both : both + cut]))
+        if 100 * both >= num * (both + apart) and max(len(a), len(b)) * (100 - num) >= 100:
+            assert not apart or np.intersect1d(ngram_join.set_keys(a, num, 100), ngram_join.set_keys(b, num, 100)).size
+
+
 # --- embeddings
 
 
