@@ -36,12 +36,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: With it, a query's shuffle files go when it ends; else they stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Batches of at most ``rows`` rows for the Python workers of the jobs run inside: for rows of many kilobytes."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)):
+        yield
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The setting for the jobs run inside."""
     before = spark.conf.get(key, None)
-    spark.conf.set(key, str(rows))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
@@ -50,7 +60,7 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
 
 class Workspace:
     """Tables of one operator run, written under the shared folder, so that lost executors lose
-    nothing and the lineage is cut.  ``drop`` deletes a table that no later plan reads."""
+    nothing and the lineage is cut.  ``drop`` deletes a table that no later plan reads, ``clear`` all of them."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -63,7 +73,7 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str, rows: int = 2000) -> DataFrame:
         path = self.path(name)
-        with arrow_rows(self.spark, rows):
+        with arrow_rows(self.spark, rows), setting(self.spark, CLEANUP, "true"):
             # zstd streams through small buffers; the default codec holds direct memory of the size of its largest page
             df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
@@ -75,6 +85,9 @@ class Workspace:
             if (path := getattr(df, "_staged_path", None)) is not None:
                 self.remove(path)
 
+    def clear(self) -> None:
+        self.remove(self.root)
+
     def remove(self, path: str) -> None:
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)

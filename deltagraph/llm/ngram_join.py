@@ -46,6 +46,8 @@ COUNTERS, NODE, PAGE, GROWTH, DEALS = 1 << 20, 16, 256, 1.4, 4
 DENSE, ROUNDS, BODY = 2, 1, 1 << 18
 #: Words of the filters that pick the texts of sets to verify, and shared keys (fixed sizes, whatever the input).
 FILTER_WORDS, KEY_WORDS = 1 << 17, 1 << 19
+#: Parts in which the keys are shuffled, one after the other: the shuffle files of one are on disk at a time.
+KEY_TURNS = 4
 #: Elements compared at once.
 CELLS = 1 << 20
 
@@ -414,7 +416,11 @@ def _doc_key(text: str):
 def _trees(full: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
     """(members, points): key, node, n, vec of the sets of each key that several sets have (keys with the same sets are one), and node, f1, f2, n, vec, fine, doc_key of these sets."""
     keyed = full.select("f1", "f2", F.explode("keys").alias("key"))
-    shared = ws.save(keyed.groupBy("key").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("key"), "shared")
+    shared = None
+    for turn in range(KEY_TURNS):
+        some = keyed.where(F.pmod("key", F.lit(KEY_TURNS)) == turn).groupBy("key").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi"))
+        some = ws.save(some.where("lo <> hi").select("key"), "shared")
+        shared = some if shared is None else shared.unionByName(some)
     one_each = ws.save(join_few(keyed, shared, "key", "left_semi", KEY_WORDS).select("key", "f1", "f2").distinct(), "entries")
     same = [F.count("*").alias("c"), F.min("f1").alias("lo"), F.max("f1").alias("hi"), F.bit_xor(F.xxhash64("f1", "f2")).alias("x"), F.bit_xor(F.xxhash64("f2", "f1")).alias("y")]
     chosen = one_each.groupBy("key").agg(*same).groupBy("c", "lo", "hi", "x", "y").agg(F.min("key").alias("key"))
@@ -432,6 +438,7 @@ def _links(members: DataFrame, sets: _Sets, num: int, den: int, ws: Workspace) -
     found, pages = _candidates(members.withColumn("root", F.col("node")), num, den, True, ws, "pages")
     links = sets.linked(found.where("a is not null").select("a", "b").distinct(), num, den)
     rest = ws.save(found.where("again is not null").select(F.col("again").alias("key")).unionByName(pages.where("of > 1").select("key")).distinct(), "rest")
+    ws.drop(pages)
     roots = components(links, ws)
     for turn in range(ROUNDS + 1):
         if rest.isEmpty():
@@ -442,11 +449,12 @@ def _links(members: DataFrame, sets: _Sets, num: int, den: int, ws: Workspace) -
         part = part.join(ws.save(open_, "open"), "key", "left_semi")
         if turn == ROUNDS:
             part = part.join(sets.bodies(part.select("node").distinct()), "node")
-        found, _ = _candidates(part, num, den, False, ws, f"round{turn}")
+        found, pages = _candidates(part, num, den, False, ws, f"round{turn}")
         pairs = found.where("a is not null").select("a", "b").distinct()
         more = pairs if turn == ROUNDS else sets.linked(pairs, num, den)
         links = links.unionByName(more)
         rest = ws.save(found.where("again is not null").select(F.col("again").alias("key")).distinct(), "rest")
+        ws.drop(pages)
         roots = components(links, ws)
     return roots
 
@@ -458,7 +466,8 @@ def similar_groups(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", tex
     Rows link when den * intersection >= num * union of their sets of k-word shingles (words between white space, A-Z lower-cased; fewer than k words: the whole
     sequence).  Texts without words, or null, have the empty set and link with nothing.  component_id is the smallest doc_id reachable by
     links; null ids never name a component, unless it has no other.  Repeated rows are all returned."""
-    ws = Workspace(docs.sparkSession, "ngrams")
+    # the result reads the tables of ws; those of work go before
+    ws, work = (Workspace(docs.sparkSession, name) for name in ("ngrams", "ngrams-work"))
     docs = docs.withColumn("_id", F.col(doc_id).cast("long"))
     own = [*keep, "_id"]
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
@@ -482,19 +491,22 @@ def similar_groups(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", tex
                 yield pa.record_batch([*[part.column(c) for c in [*own, "doc_key"]], pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(vec, pa.binary()), pa.array(fine, pa.binary()), lists], [*own, "doc_key", "n", "f1", "f2", "vec", "fine", "keys"])
 
     source = docs.select(*own, _doc_key(text).alias("doc_key"), text)
-    every = ws.save(source.mapInArrow(build, f"{kept}, doc_key long, {SETS}"), "sets")
-    full = every.where("n > 0")
-    members, points = _trees(full, ws)
-    roots = _links(members, _Sets(docs, text, points, k, ws), num, den, ws)
-    rooted = ws.save(points.select("node", "f1", "f2").join(roots, "node").select("f1", "f2", "root"), "rooted")
-    classes = full.groupBy("f1", "f2").agg(F.min("_id").alias("first"))
-    ids = ws.save(classes.join(small(rooted, rooted.count()), ["f1", "f2"], "left"), "ids")
+    sets = work.save(source.mapInArrow(build, f"{kept}, doc_key long, {SETS}"), "sets")
+    members, points = _trees(sets.where("n > 0"), work)
+    # the keys and points of all sets are the largest table: from here on only the trees' are read
+    every = ws.save(sets.select(*own, "n", "f1", "f2"), "rows")
+    work.drop(sets)
+    roots = _links(members, _Sets(docs, text, points, k, work), num, den, work)
+    rooted = work.save(points.select("node", "f1", "f2").join(roots, "node").select("f1", "f2", "root"), "rooted")
+    classes = every.where("n > 0").groupBy("f1", "f2").agg(F.min("_id").alias("first"))
+    ids = work.save(classes.join(small(rooted, rooted.count()), ["f1", "f2"], "left"), "ids")
     linked = ids.where("root is not null")
-    least = ws.save(linked.groupBy("root").agg(F.min("first").alias("component")), "least")
+    least = work.save(linked.groupBy("root").agg(F.min("first").alias("component")), "least")
     named = linked.join(least, "root").select("f1", "f2", "component").unionByName(ids.where("root is null").select("f1", "f2", F.col("first").alias("component")))
     named = ws.save(named, "named")
+    work.clear()
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_id"))
-    return every.select(*own, "n", "f1", "f2").join(named, ["f1", "f2"], "left").select(*keep, F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return every.join(named, ["f1", "f2"], "left").select(*keep, F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 import collections
 import hashlib
 import os
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from deltagraph.llm import components, decontamination, embedding_dedup, line_dedup, ngram_join
-from deltagraph.llm.common import Workspace
+from deltagraph.llm.common import Workspace, shared_dir
 from tests.llm.conftest import ROOT_TABLES, plain_words
 
 needs_tables = pytest.mark.skipif(not os.path.isdir(ROOT_TABLES), reason="no test tables")
@@ -199,6 +201,28 @@ def test_sets_at_the_limit_share_a_key(monkeypatch, deals):
             assert not apart or np.intersect1d(ngram_join.set_keys(a, num, 100), ngram_join.set_keys(b, num, 100)).size
 
 
+def test_ngram_join_leaves_only_the_tables_its_result_reads(spark):
+    root = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(root.iterdir())
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(words[: 60 - i % 3])) for i in range(30)], "doc_id long, text string")
+    got = ngram_join.similar_groups(docs, ["doc_id"])
+    assert sorted(t.name[4:] for d in set(root.iterdir()) - before for t in d.iterdir()) == ["named", "rows"]
+    assert {r["component_id"] for r in got.collect()} == {0}
+
+
+def test_saved_tables_leave_no_shuffle_files(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in dirs for f in Path(d).rglob("shuffle_*")}
+    before = files()
+    out = Workspace(spark, "t").save(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and out.count() == 7
+
+
 # --- embeddings
 
 
