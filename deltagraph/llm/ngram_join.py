@@ -70,7 +70,7 @@ def parts_of(end: int, num: int, den: int) -> tuple[int, int]:
     most = 2 * (end - 1) * (den - num) // (den + num)  # largest symmetric difference
     if most < 1:
         return 1, 0
-    spare = 2 + most // 8
+    spare = 2 + most * 5 * (den - num) // (8 * den)  # parts are thinner, and more of them empty, where less similar sets link
     return most + 1 + 2 * spare, spare
 
 
