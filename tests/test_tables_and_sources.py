@@ -96,3 +96,14 @@ def test_command_line(spark, tmp_path, capsys):
     main(["shortest_paths", "--graph", f"file://{tmp_path}/g.txt", "--weighted", "--result", f"file://{tmp_path}/out", "--vertices", "5", "--set", "source=0", "--log", f"file://{tmp_path}/log"])
     got = {r["id"]: r["v"] for r in adjacency.read_result(spark, f"file://{tmp_path}/out").collect()}
     assert got == {0: 0.0, 1: 3.0, 2: 1.0, 3: 4.0, 4: None} and "converged: True" in capsys.readouterr().out
+
+
+def test_a_user_fold_costs_no_call_a_key_and_streams(spark, monkeypatch):
+    monkeypatch.setattr(udf, "KEYS", 50)
+    sent = spark.range(40_000).select(F.when(F.col("id") % 7 > 0, F.col("id") % 3001).alias("dst"), F.when(F.col("id") % 5 > 0, F.col("id").cast("double")).alias("d")).repartition(3)
+    folded = udf.accumulate_with(sent, lambda a, b: a + b)
+    assert {tuple(r) for r in folded.collect()} == {tuple(r) for r in sent.groupBy("dst").agg(F.sum("d")).collect()}
+    assert "FlatMapGroups" not in folded._jdf.queryExecution().executedPlan().toString()
+    nothing = spark.createDataFrame([(1, None), (1, None), (2, None), (2, 3.0)], "dst long, d double")
+    assert {tuple(r) for r in udf.accumulate_with(nothing, max).collect()} == {(1, None), (2, 3.0)}
+    assert udf.accumulate_with(sent.limit(0), max).isEmpty()
