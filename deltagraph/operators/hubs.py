@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deltagraph.plans.engine import CHUNK, packed, parts_for
 from deltagraph.plans.kernel import Kernel, Message
 
 
@@ -32,8 +33,11 @@ class HubSplit:
         n = out_degree(edges)
         part = F.when(F.col("n") >= degree, F.pmod(F.xxhash64("dst"), F.lit(parts))).otherwise(F.lit(0))
         dealt = edges.join(n, "src").select(F.col("src").alias("id"), part.alias("part"), "n", "dst", weight.alias("weight"))
-        shuffled = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.dealt = dealt.repartition(shuffled, "id", "part").cache()
+        self.shuffled = parts_for(edges.sparkSession, edges.count())
+        # a part in rows of bounded length, in the order in which the rounds join them
+        row = F.when(F.col("n") > CHUNK, F.pmod(F.shiftright(F.xxhash64("dst"), 32), F.ceil(F.col("n") / CHUNK))).otherwise(F.lit(0))
+        rows = packed(dealt.withColumn("row", row).repartition(self.shuffled, "id", "part"), "id", "part", "row", "n").drop("row")
+        self.dealt = rows.sortWithinPartitions("id", "part").cache()
         self.degrees = n.withColumnRenamed("src", "id").cache()
 
     def round(self, state: DataFrame, kernel: Kernel) -> DataFrame:
@@ -43,9 +47,9 @@ class HubSplit:
         live = state.where(active).select("id", delta.alias("d"), "v").withColumn("sends", kernel.changes(F.col("v"), F.col("d"))).withColumn("v", kernel.accumulate.fold(F.col("v"), F.col("d")))
         sending = live.where("sends").join(self.degrees, "id")
         shares = sending.withColumn("part", F.explode(F.when(F.col("n") >= self.degree, F.sequence(F.lit(0), F.lit(self.parts - 1))).otherwise(F.array(F.lit(0)))))
-        joined = self.dealt.join(shares.drop("n", "sends"), ["id", "part"])
-        sent = kernel.emit(Message(F.col("d"), F.col("v"), F.col("weight"), F.col("n"), F.col)).cast(kernel.kind)
-        agg = joined.select("dst", sent.alias("m")).groupBy(F.col("dst").alias("id")).agg(kernel.accumulate.over("m").alias("m"))
+        joined = self.dealt.join(shares.drop("n", "sends"), ["id", "part"]).select("id", "weight", "n", "d", "v", F.posexplode("dst").alias("at", "to"))
+        sent = kernel.emit(Message(F.col("d"), F.col("v"), F.get("weight", F.col("at")), F.col("n"), F.col)).cast(kernel.kind)
+        agg = joined.select(F.col("to").alias("dst"), sent.alias("m")).groupBy(F.col("dst").alias("id")).agg(kernel.accumulate.over("m").alias("m"))
         after = state.select("id", F.when(active, kernel.accumulate.fold(F.col("v"), delta)).otherwise(F.col("v")).alias("v"))
         return after.join(agg, "id", "left").select("id", "v", F.coalesce(F.col("m"), kernel.identity()).alias("delta"))
 

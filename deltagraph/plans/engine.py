@@ -7,11 +7,12 @@ groups messages, combined map-side.  A hub's chunks are rows that an adaptive sk
 
 from __future__ import annotations
 
+import contextlib
 import math
 import tempfile
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,10 @@ from deltagraph.plans.terminate import Diff, TermChecker
 
 #: Out-edges of one adjacency row.
 CHUNK = 1024
+#: Edges and vertices of one partition, at which a graph gets fewer partitions than the session's shuffles have.
+ROWS = 500_000
+#: So many hubs are sent to all tasks; more are joined by a shuffle.
+FEW = 500_000
 #: Rounds after which a run of a sum kernel without a limit of its own is given up.
 LIMIT = 1000
 
@@ -55,32 +60,59 @@ def forget(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def packed(edges: DataFrame, *keys: str) -> DataFrame:
+    """One row for each combination of ``keys``: its edges as arrays dst and weight.  Two arrays, as kernels without weights then read one only."""
+    rows = edges.groupBy(*keys).agg(F.collect_list(F.struct("dst", "weight")).alias("e"))
+    return rows.select(*keys, F.col("e.dst").alias("dst"), F.col("e.weight").alias("weight"))
+
+
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """Partitions for a graph of so many edges and vertices: every core has some, and none is nearly empty, for the blocks of a round's shuffle are their square."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, math.ceil(rows / ROWS)))
+
+
+@contextlib.contextmanager
+def shuffles_of(spark: SparkSession, parts: int) -> Iterator[None]:
+    """Shuffles planned within have ``parts`` partitions."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @dataclass
 class Adjacency:
-    """id, entries (dst, weight, own), degree and the vertices' data columns."""
+    """id, dst and weight (arrays of equal length), degree (0: the vertex's own entry, whose dst is its id) and the vertices' data columns."""
 
     rows: DataFrame
     data: list[str]
+    parts: int
 
     @classmethod
     def build(cls, vertices: DataFrame, edges: DataFrame, data: list[str] | None = None, chunk: int = CHUNK, cache: bool = True) -> Adjacency:
         """``vertices``: id and data columns; ``edges``: src, dst and optionally weight."""
         data = data or []
         weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
-        entry = lambda dst, w, own: F.struct(dst.alias("dst"), w.alias("weight"), F.lit(own).alias("own"))
-        degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-        # only hubs are cut into parts, so this join's right side is small and each edge is shuffled once, to be packed
-        hubs = degree.where(F.col("degree") > chunk).select("src", F.ceil(F.col("degree") / chunk).alias("chunks"))
-        out = edges.select("src", "dst", weight.alias("weight")).join(hubs, "src", "left")
+        # only hubs are cut into parts, any other vertex has all its edges in one row, which tells its degree.  The hubs are few (one for each ``chunk``
+        # edges at most) and known before the edges are dealt, so that edges aren't shuffled to find theirs
+        degree = edges.groupBy("src").agg(F.count("*").alias("degree")).where(F.col("degree") > chunk)
+        hubs = truncate(degree.withColumn("chunks", F.ceil(F.col("degree") / chunk)), f"{shared_dir(edges.sparkSession)}/hubs")
+        if hubs.count() <= FEW:
+            hubs = F.broadcast(hubs)
         part = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("chunks")), F.lit(0))
-        packed = out.groupBy("src", part.alias("part")).agg(F.collect_list(entry(F.col("dst"), F.col("weight"), False)).alias("entries"))
-        packed = packed.join(degree, "src").select(F.col("src").alias("id"), "entries", "degree")
+        out = edges.join(hubs, "src", "left").select(F.col("src").alias("id"), part.alias("part"), "degree", "dst", weight.alias("weight"))
+        own = vertices.select("id", F.lit(-1).cast("long").alias("part"), F.lit(0).cast("long").alias("degree"), F.col("id").alias("dst"), F.lit(1.0).alias("weight"))
+        n = parts_for(vertices.sparkSession, edges.count() + vertices.count())
+        # each edge is shuffled once; all that follows keeps to the partitions
+        rows = packed(own.unionByName(out).repartition(n, "id"), "id", "part", "degree").drop("part")
+        rows = rows.withColumn("degree", F.coalesce(F.col("degree"), F.size("dst").cast("long")))
         if data:
-            packed = packed.join(vertices.select("id", *data), "id")
-        own = vertices.select("id", F.array(entry(F.col("id"), F.lit(1.0), True)).alias("entries"), F.lit(0).cast("long").alias("degree"), *data)
-        n = int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = own.unionByName(packed).repartition(n, "id")
-        return cls(rows.cache() if cache else rows, data)
+            rows = rows.join(vertices.select("id", *data), "id")
+        # in order of the ids, so that no round sorts it again
+        rows = rows.sortWithinPartitions("id")
+        return cls(rows.cache() if cache else rows, data, n)
 
     def release(self) -> None:
         self.rows.unpersist()
@@ -105,17 +137,17 @@ def one_round(state: DataFrame, adj: Adjacency, kernel: Kernel, chosen: Column |
     active = pending if chosen is None else pending & chosen
     delta = kernel.process(F.col("delta"), F.col) if kernel.process else F.col("delta")
     live = joined.select(
-        "id", "entries", "degree", *adj.data, "v", F.col("delta").alias("kept"), active.alias("active"),
+        "id", "dst", "weight", "degree", *adj.data, "v", F.col("delta").alias("kept"), active.alias("active"),
         F.when(active, delta).otherwise(kernel.identity()).alias("d"), *[(F.col(c) + active.cast("long")).alias(c) for c in counted])
     live = live.withColumn("sends", F.col("active") & kernel.changes(F.col("v"), F.col("d")))
     live = live.withColumn("v", F.when(F.col("active"), kernel.accumulate.fold(F.col("v"), F.col("d"))).otherwise(F.col("v")))
     # edges of vertices that don't send are not even unpacked, so a round costs what its frontier costs
-    wanted = F.when(F.col("sends") | (F.col("degree") == 0), F.col("entries"))
-    each = live.select("id", "degree", *adj.data, "v", "kept", "active", "d", *counted, F.explode(wanted).alias("e"))
-    own = F.col("e.own")
-    sent = kernel.emit(Message(F.col("d"), F.col("v"), F.col("e.weight"), F.col("degree"), F.col)).cast(kernel.kind)
+    wanted = F.when(F.col("sends") | (F.col("degree") == 0), F.col("dst"))
+    each = live.select("id", "weight", "degree", *adj.data, "v", "kept", "active", "d", *counted, F.posexplode(wanted).alias("at", "to"))
+    own = F.col("degree") == 0
+    sent = kernel.emit(Message(F.col("d"), F.col("v"), F.get("weight", F.col("at")), F.col("degree"), F.col)).cast(kernel.kind)
     moved = each.select(
-        F.col("e.dst").alias("id"),
+        F.col("to").alias("id"),
         F.when(own, F.col("v")).alias("v"),
         F.when(own, F.when(F.col("active"), kernel.identity()).otherwise(F.col("kept"))).otherwise(sent).alias("delta"),
         own.alias("own"),
@@ -192,7 +224,13 @@ def measure(state: DataFrame, kernel: Kernel, estimate: Callable[[], Column] | N
 
 
 def run(state: DataFrame, adj: Adjacency, kernel: Kernel, options: Options | None = None, start: int = 0) -> Result:
-    """Rounds until nothing is pending, the checker is satisfied or max_rounds is reached (then ``converged`` is False)."""
+    """Rounds until nothing is pending, the checker is satisfied or max_rounds is reached (then ``converged`` is False).  Each is done when this
+    returns, with as many partitions as the adjacency has."""
+    with shuffles_of(state.sparkSession, adj.parts):
+        return _run(state, adj, kernel, options, start)
+
+
+def _run(state: DataFrame, adj: Adjacency, kernel: Kernel, options: Options | None, start: int) -> Result:
     o = options or Options()
     spark = state.sparkSession
     folder = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"

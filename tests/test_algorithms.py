@@ -217,3 +217,25 @@ def test_the_chain_query_has_few_rounds(spark, tmp_path, monkeypatch):
     spark.range(0, 200, 2).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
     got = values(catalogue.queries()["sssp_chain"](spark, str(tmp_path)))
     assert got == {i: float(sum(j % 3 for j in range(0, i, 2))) for i in range(0, 200, 2)} and len(ran) <= 4
+
+
+def test_partitions_follow_the_graph_and_no_round_sorts_the_adjacency(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        vertices, edges = spark.range(50), spark.range(50).selectExpr("id AS src", "(id * 7) % 50 AS dst")
+        kernel, adj = alg.pagerank(), Adjacency.build(vertices, edges)
+        assert adj.rows.rdd.getNumPartitions() == adj.parts == spark.sparkContext.defaultParallelism
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
+        once = one_round(initial_state(vertices, kernel), adj, kernel)
+        once.collect()
+        plan = once._jdf.queryExecution().executedPlan().toString()
+        read = plan[: plan.index("InMemoryRelation")]
+        assert read.count("Sort [") == read.count("SortMergeJoin") == 1 and "weight" not in read
+        run(initial_state(vertices, kernel), adj, kernel, Options(max_rounds=1, checker=None))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
+        adj.release()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
